@@ -56,12 +56,26 @@ SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infrin
 COPYRIGHT_RE = r"(^|\n)[^\n\p{L}]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_RE, "\n")
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+def _respelt(text: Column) -> Column:
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def _marks_gone(text: Column) -> Column:
+    """Lower case, no copyright lines, one blank for other than letters, digits and line ends."""
+    low = F.lower(text)
+    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
+    out = F.when(marked, F.regexp_replace(low, COPYRIGHT_RE, "\n")).otherwise(low)
+    return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _one_line(bare: Column) -> Column:
+    return F.trim(F.regexp_replace(bare, r" ?\n[ \n]*", " "))
+
+
+def canonical(text: Column) -> Column:
+    return _respelt(_one_line(_marks_gone(text)))
 
 
 def known_digests(spark: SparkSession, licenses: dict[str, str] | None = None, notices: dict[str, list[str]] | None = None) -> DataFrame:
@@ -76,8 +90,10 @@ def known_digests(spark: SparkSession, licenses: dict[str, str] | None = None, n
 def license_scan(docs: DataFrame, licenses: dict[str, str] | None = None, notices: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, digest (of the canonical text; null if empty), license, notices (of lines, joined by commas)."""
     known = known_digests(docs.sparkSession, licenses, notices)
-    rows = text_table(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(F.array("text"), F.split("text", "\n")).alias("parts"))
-    rows = rows.select("row", "doc_id", F.posexplode("parts").alias("k", "part")).select("row", "doc_id", (F.col("k") == 0).alias("whole"), canonical(F.col("part")).alias("part"))
+    rows = text_table(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", _marks_gone(F.col("text")).alias("bare"))
+    rows = rows.select("row", "doc_id", _respelt(_one_line(F.col("bare"))).alias("all"), F.split(_respelt(F.col("bare")), "\n").alias("lines"))
+    rows = rows.select("row", "doc_id", F.posexplode(F.concat(F.array("all"), "lines")).alias("k", "part"))
+    rows = rows.select("row", "doc_id", (F.col("k") == 0).alias("whole"), F.trim("part").alias("part"))
     rows = rows.select("row", "doc_id", "whole", F.when(F.col("part") != "", F.sha2("part", 256)).alias("digest"))
     # one row of some hundred bytes for each known text
     found = rows.join(F.broadcast(known), ["digest", "whole"], "left")

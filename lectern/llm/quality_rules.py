@@ -25,16 +25,15 @@ from pyspark.sql import functions as F
 from .common import text_table
 
 BUCKETS = 1 << 16
-THRESHOLD = -0.5
+THRESHOLD = -0.25
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-# fixed values: the white space of a word pattern [^\x20\x09-\x0D]+, and the symbols
-WHITE = " \t\n\x0b\x0c\r"
+# fixed values: the white space between words of the pattern [^\x20\x09-\x0D]+, and the symbols
 WHITE_RE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
 
 def word_array(text: str = "text") -> Column:
-    bare = F.expr(f"trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM {text})")
+    bare = F.expr(f"trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM {text})")
     return F.when(bare != "", F.split(bare, WHITE_RE)).otherwise(F.array().cast("array<string>"))
 
 
@@ -44,45 +43,59 @@ def _twice(found: str, same) -> Column:
     return F.filter(x, lambda v, j: ((j > 0) & same(v, F.get(x, j - 1))) | ((j + 1 < F.size(x)) & same(v, F.get(x, j + 1))))
 
 
+def _runs(size: int) -> Column:
+    """All runs of size neighbouring words, as structs with fields 0, 1, ..."""
+    w = F.col("words")
+    n = F.greatest(F.size(w) - (size - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(w, F.lit(k + 1), n).alias(f"w{k}") for k in range(size)])
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: one row per row of docs."""
     d = text_table(docs).select("doc_id", "text", word_array().alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    bare = F.col("text")
+    for c in SYMBOLS:
+        bare = F.replace(bare, F.lit(c), F.lit(""))
     d = d.select(
         "doc_id",
         "words",
-        F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(bare)).cast("long").alias("n_symbols"),
         lines.alias("lines"),
+        F.transform(_runs(3), lambda x: F.xxhash64(x["w0"], x["w1"], x["w2"])).alias("hashes"),
     )
-    w = F.col("words")
-    # 32 bits of a window's hash above its place: sorting brings equal windows together
-    keyed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(i.cast("long")))
     base = [F.col(c) for c in ("doc_id", "words", "word_chars", "n_symbols")]
-    d = d.select(*base, (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.sort_array(F.when(F.size(w) >= 3, keyed).otherwise(F.array().cast("array<bigint>"))).alias("keyed"))
+    d = d.select(*base, (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.when(F.size("hashes") > F.size(F.array_distinct("hashes")), F.col("hashes")).alias("hashes"))
     base.append(F.col("n_dup_lines"))
+    # 32 bits of a window's hash above its place: sorting brings equal windows together; texts without equal hashes stay null
+    keyed = F.transform("hashes", lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(i.cast("long")))
+    d = d.select(*base, F.sort_array(keyed).alias("keyed"))
     d = d.select(*base, F.transform(_twice("keyed", lambda a, b: F.shiftright(a, 31) == F.shiftright(b, 31)), lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("at"))
     # equal hashes are confirmed on the words themselves
+    w = F.col("words")
     d = d.select(*base, F.sort_array(F.transform("at", lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))).alias("exact"))
     d = d.select(*base, F.sort_array(F.transform(_twice("exact", lambda a, b: a["g"] == b["g"]), lambda v: v["i"])).alias("at"))
     at = F.col("at")
     covered = F.aggregate(F.transform(at, lambda v, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1), v + 3) - v)), F.lit(0), lambda a, b: a + b)
-    return d.select(*base, F.size(w).cast("long").alias("n_words"), covered.cast("long").alias("n_repeat_words"))
+    return d.select(*base, F.size(w).cast("long").alias("n_words"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def bucket_array(buckets: int) -> Column:
-    """Bucket numbers of all unigrams and bigrams of the column words."""
+def explode_buckets(df: DataFrame, buckets: int, *names: str) -> DataFrame:
+    """names and bucket: a row for each word and one for each pair of neighbours; a text without words has one row without bucket."""
     w = F.col("words")
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    two = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1)), F.lit(buckets)).cast("int"))
-    return F.concat(one, F.when(F.size(w) >= 2, two).otherwise(F.array().cast("array<int>")))
+    pairs = F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b"))
+    rows = df.select(*names, F.explode_outer(pairs).alias("p"))
+    both = F.array(F.pmod(F.xxhash64("p.a"), F.lit(buckets)).cast("int"), F.when(F.col("p.b").isNotNull(), F.pmod(F.xxhash64("p.a", "p.b"), F.lit(buckets)).cast("int")))
+    rows = rows.select(*names, F.col("p").isNull().alias("none"), F.explode(both).alias("bucket"))
+    return rows.select(*names, F.when(~F.col("none"), F.col("bucket")).alias("bucket"))
 
 
 def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, ratio: log of target over raw probability, in millionths."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("target"))
     marked = text_table(docs).join(good.where("target = 1"), "doc_id", "left")
-    grams = marked.select(word_array().alias("words"), "target").select("target", F.explode(bucket_array(buckets)).alias("bucket"))
+    grams = explode_buckets(marked.select(word_array().alias("words"), "target"), buckets, "target").where("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
     sums = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()
     raw, target = sums["all_raw"] or 0, sums["all_target"] or 0
@@ -96,8 +109,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
 
     ratios = store(bucket_ratios(docs, labels, buckets), "ratios")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = base_counts(docs).select(F.monotonically_increasing_id().alias("row"), *names, bucket_array(buckets).alias("all"))
-    rows = rows.select("row", *names, F.explode_outer("all").alias("bucket"))
+    rows = base_counts(docs).select(F.monotonically_increasing_id().alias("row"), *names, "words")
+    rows = explode_buckets(rows, buckets, "row", *names)
     # at most `buckets` rows of 16 bytes
     scored = rows.join(F.broadcast(ratios), "bucket", "left")
     sums = scored.groupBy("row", *names).agg(F.sum("ratio").alias("total"), F.count("bucket").alias("grams"))
