@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminate
+from .html_text import extract_text
 from .license_scan import license_scan, license_sql
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .near_dedup import near_dedup
 from .packing import best_fit_packing
+from .quality_lm import quality_lm
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
@@ -26,12 +29,20 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn_from=~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -48,9 +59,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op4_toxicity, op6_line_dedup, op7_substring_dedup, op8_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_html_extraction, op4_toxicity, op5_benchmark_decontamination, op6_line_dedup, op7_substring_dedup, op8_best_fit_packing, op9_quality_classifier, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_sql(), "op6_line_dedup": LINE_DEDUP_SQL}
