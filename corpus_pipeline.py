@@ -1,23 +1,66 @@
-"""Corpus pipeline: near-dedup for now; more stages follow."""
+"""Corpus pipeline: toxicity, line dedup, near-dedup, decontamination, packing.
+
+Every stage works on all that the stage before it kept, and returns the columns of
+documents; the last returns the packed pieces. A document is dropped if it is scored
+toxic, if line dedup takes all its lines, if it is a near copy of a document with a
+smaller doc_id, or if it holds a benchmark item. Where a doc_id is repeated, a decision
+about it holds for all its rows, and line dedup's text is that of each row.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.llm.common import shared_dir
+from lectern.llm.decontamination import decontaminate
+from lectern.llm.line_dedup import line_dedup
 from lectern.llm.near_dedup import near_dedup
+from lectern.llm.packing import best_fit_packing
+from lectern.llm.toxicity import toxicity
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scores = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _only(docs, scores.groupBy("doc_id").agg(F.max("predicted").alias("toxic")).where("toxic = 0"))
+
+
+def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup(docs, carry=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, near_dedup(docs).where("kept"))
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _only(docs, found.groupBy("doc_id").agg(F.max("contaminated").alias("bad")).where("not bad"))
+
+
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("near dedup", _near)]
+STAGES = [("toxicity", _toxicity), ("line dedup", _lines), ("near dedup", _near), ("decontamination", _decontaminate), ("packing", _pack)]
+#: models and tokenizers are beyond SQL; tests/llm holds the stages against plain restatements
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{shared_dir(spark)}/lectern-stage{k}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -40,7 +40,6 @@ _CHUNK = 1024
 _U = np.uint64
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
-_PLAIN[65:91] = np.arange(97, 123)
 _MASKS = np.array([sum(1 << b for b in bits) for k in range(_FLIPS + 1) for bits in itertools.combinations(range(_BLOCK_BITS), k)], np.int64)
 
 
@@ -205,9 +204,9 @@ def _drop_text(scan):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, items (sorted ids of the items found in it), contaminated."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id is not null and text is not null")
     rows = items.orderBy("item_id", "text").toLocalIterator()
-    now = text_table(docs)
+    now = text_table(docs).select("doc_id", F.lower("text").alias("text"))
     blocks = list(_blocks(rows)) or [([], [])]
     for k, (ids, texts) in enumerate(blocks):
         scan = _scan(hash((k, tuple(ids), tuple(texts))), ids, texts, similarity)

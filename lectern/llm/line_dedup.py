@@ -72,15 +72,22 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     return doomed.distinct(), later
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, n_lines, n_removed, longest (lines of its longest later copy, to a power of two), text (what stays)."""
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, carry: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_lines, n_removed, longest (lines of its longest later copy, to a power of two), text (what stays).
+
+    carry: instead, the rows of docs with their own columns and the text that stays, without rows that lose all their lines.
+    """
     doomed, later = repeated_runs(docs, min_lines, min_words)
     gone = doomed.groupBy(_KEY).agg(F.collect_list("pos").alias("gone"))
     longest = later.groupBy(_KEY).agg(F.max("length").alias("longest"))
     d = text_table(docs).withColumn("th", F.xxhash64("text"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    if others:
+        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")).withColumn("th", F.xxhash64("text"))
+    own = ["others"] if others else []
     d = d.join(gone.join(longest, _KEY, "full"), _KEY, "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     held = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), x.rlike(r"[^\x20\x09-\x0D]").alias("held")))
-    d = d.select("doc_id", "text", "longest", F.sort_array("gone").alias("gone"), held.alias("held"))
+    d = d.select("doc_id", "text", "longest", *own, F.sort_array("gone").alias("gone"), held.alias("held"))
     # one step down the sorted list of deleted lines for each line: number of lines with words so far, next deletion, text
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -90,7 +97,12 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
 
     d = d.withColumn("kept", F.when(F.size("gone") > 0, F.aggregate("held", start, step)["out"]))
     n_lines = F.size(F.filter("held", lambda x: x["held"]))
-    return d.select("doc_id", n_lines.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce(F.when(n_lines == F.size("gone"), F.when(F.size("gone") > 0, "")), F.array_join("kept", "\n"), "text").alias("text"))
+    text = F.coalesce(F.when(n_lines == F.size("gone"), F.when(F.size("gone") > 0, "")), F.array_join("kept", "\n"), "text")
+    n_removed = F.size("gone").cast("long").alias("n_removed")
+    if carry:
+        kept = d.where((n_lines > F.size("gone")) | (F.size("gone") == 0)).withColumn("text", text)
+        return kept.select(*[F.col(f"others.`{c}`") if c in others else F.col(f"`{c}`") for c in docs.columns])
+    return d.select("doc_id", n_lines.cast("long").alias("n_lines"), n_removed, F.coalesce("longest", F.lit(0)).alias("longest"), text.alias("text"))
 
 
 LINE_DEDUP_SQL = r"""
