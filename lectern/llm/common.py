@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 20
+#: doc_ids that a broadcast may hold: 64 MB of numbers
+BROADCAST_IDS = 8_000_000
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 _U = np.uint64
@@ -61,10 +63,14 @@ def text_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def groups_for(docs: DataFrame, group_bytes: int = SLICE_BYTES) -> int:
-    """How many hash groups hold about group_bytes of text each."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, int(total // group_bytes) + 1)
+def mark_ids(df: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """df with target = 1 where its doc_id is one of ids (distinct), else null.
+
+    The ids are counted first: up to limit they are broadcast and df isn't moved; beyond
+    it both sides are shuffled, with the ids as the hashed side.
+    """
+    ids = store(ids.select("doc_id", F.lit(1).alias("target")), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= limit else ids.hint("shuffle_hash"), "doc_id", "left")
 
 
 # ---------------------------------------------------------------- arrays of words

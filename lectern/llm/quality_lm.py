@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, store, text_buffer
+from .common import mark_ids, slices, store, text_buffer
 
 ORDER, BITS = 4, 6
 QUANTILE, SLACK = 0.99, 1.5
@@ -153,7 +153,7 @@ _MODELS: dict[str, Model] = {}
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    trusted = texts.join(trusted_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi")
+    trusted = mark_ids(texts, trusted_ids(labels)).where("target = 1")
     counts = trusted.select("text").mapInArrow(_count, "key int, c long").groupBy("key").agg(F.sum("c").alias("c"))
     # at most 64**4 rows of each kind
     return Model(kneser_ney(store(counts, "ngrams")).toArrow())

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_table
+from .common import mark_ids, store, text_table
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.25
@@ -94,7 +94,7 @@ def explode_buckets(df: DataFrame, buckets: int, *names: str) -> DataFrame:
 def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, ratio: log of target over raw probability, in millionths."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("target"))
-    marked = text_table(docs).join(good.where("target = 1"), "doc_id", "left")
+    marked = mark_ids(text_table(docs), good.where("target = 1"))
     grams = explode_buckets(marked.select(word_array().alias("words"), "target"), buckets, "target").where("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
     sums = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()
@@ -105,8 +105,6 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: base counts, base_failed, llr (mean log ratio), kept."""
-    from .common import store
-
     ratios = store(bucket_ratios(docs, labels, buckets), "ratios")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = base_counts(docs).select(F.monotonically_increasing_id().alias("row"), *names, "words")
