@@ -16,6 +16,8 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
     """The k nearest rows of a task to each query; a task keeps k rows a query at most."""
 
     def run(batches):
+        if not len(ids):
+            return
         best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
