@@ -11,8 +11,8 @@ from .license_scan import license_scan, license_sql
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .near_dedup import near_dedup
 from .packing import best_fit_packing
-from .quality_lm import quality_lm
 from .quality_rules import quality_rules
+from .quality_words import quality_words
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
@@ -60,7 +60,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_lm(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
