@@ -1,6 +1,7 @@
 """License scans: canonical digests of whole texts and of their lines, hash-joined to known ones.
 
-A text is made canonical by lower case, dropping copyright lines, equivalent spellings,
+A text is made canonical by lower case, dropping copyright notices (not other lines that
+begin with the word), equivalent spellings,
 and one blank for any run of other than letters and digits. Its SHA-256 digest is joined
 to the digests of known licence texts; each line of a text is looked up in the same way
 as a notice. Nothing short of the entire canonical text matches.
@@ -53,8 +54,15 @@ NOTICES = {
 }
 # fixed values: spellings that count as equal, as (from, to), applied in this order
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright holder", "copyright owner"), ("favour", "favor"), ("authoris", "authoriz"), ("organis", "organiz"), ("recognis", "recogniz"), ("acknowledgement", "acknowledgment"), ("centre", "center"), ("programme", "program"), ("wilful", "willful"), ("behaviour", "behavior"), ("labour", "labor"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), ("https", "http")]
+# the SQL's rule, which also drops lines of prose; it is left as it was
 COPYRIGHT_RE = r"(^|\n)[^\n\p{L}]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
+# words after "copyright", or after the "(c)" of a list, that make a line prose and no notice
+_PROSE = "notices?|holders?|owners?|licen[sc]es?|laws?|permissions?|statements?|interests?|protection|treaty|infringement|disclaimers?|acts?|status|doctrines?|works?|rights?|conditions?|exceptions?|the (?:software|library|program)|and|or|in|on|of|is|as|for|to|that|which|with|under|if|any|an?"
+_ITEM = "the|this|these|those|you|your|it|its|if|each|every|all|no|not|such|must|may|shall|will|when|where|by|with|under|at|from|prohibit\\w*|accompany|convey\\w*|cause|give|use|include|" + _PROSE
+#: a line that is a copyright notice: (c) or a year or a holder by name after the word, or the sign itself, or all rights reserved
+NOTICE_RE = rf"(^|\n)[^\n\p{{L}}©(]*(?:(?i:copyright)(?:[^\S\n]+(?i:by)\b|[^\S\n:,]*[:,]?[^\S\n]*(?:(?i:\(c\))|©|[<\[{{(]?(?:\p{{Nd}}{{4}}|(?i:y{{2,4}}|year)\b)|(?!(?i:{_PROSE})\b)\p{{Lu}}))|(?i:\(c\))[^\S\n]*(?!(?i:{_ITEM})\b)[\p{{L}}\p{{N}}<\[{{]|©|(?i:all rights reserved))[^\n]*"
+
 
 def _respelt(text: Column) -> Column:
     for a, b in SPELLINGS:
@@ -66,7 +74,8 @@ def _marks_gone(text: Column) -> Column:
     """Lower case, no copyright lines, one blank for other than letters, digits and line ends."""
     low = F.lower(text)
     marked = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
-    out = F.when(marked, F.regexp_replace(low, COPYRIGHT_RE, "\n")).otherwise(low)
+    # names are told by their capitals
+    out = F.when(marked, F.lower(F.regexp_replace(text, NOTICE_RE, "\n"))).otherwise(low)
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
 
 
