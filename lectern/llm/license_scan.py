@@ -4,7 +4,8 @@ A text is made canonical by lower case, dropping copyright notices (not other li
 begin with the word), equivalent spellings,
 and one blank for any run of other than letters and digits. Its SHA-256 digest is joined
 to the digests of known licence texts; each line of a text is looked up in the same way
-as a notice. Nothing short of the entire canonical text matches.
+as a notice. Nothing short of an entire known text matches: a text is known with and
+without its title, and a long one with and without its appendix too.
 
 Only DataFrame functions run. The table of known digests has one row a known text (a
 fixed list or the caller's), which bounds its broadcast.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_table
+from .license_digests import DIGESTS
 
 _DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
 _BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
@@ -87,12 +89,21 @@ def canonical(text: Column) -> Column:
     return _respelt(_one_line(_marks_gone(text)))
 
 
+def _untitled(text: str) -> list[str]:
+    """A known text, and that text without the title line it may stand without."""
+    title, _, rest = text.partition("\n\n")
+    return [text, rest] if title.lower().endswith("license") else [text]
+
+
 def known_digests(spark: SparkSession, licenses: dict[str, str] | None = None, notices: dict[str, list[str]] | None = None) -> DataFrame:
-    """digest, name, whole: one row for each known text."""
-    rows = [(n, t, True) for n, t in (LICENSES if licenses is None else licenses).items()]
+    """digest, name, whole: one row for each known text; of full licence texts (license_digests) the digests are kept."""
+    rows = [(n, t, True) for n, t in licenses.items()] if licenses is not None else [(n, x, True) for n, t in LICENSES.items() for x in _untitled(t)]
     rows += [(n, t, False) for n, many in (NOTICES if notices is None else notices).items() for t in many]
     known = spark.createDataFrame(rows or [("", "", True)], "name string, text string, whole boolean")
     found = known.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "name", "whole").where(F.length("name") > 0)
+    if licenses is None:
+        full = spark.createDataFrame([(d, n, True) for n, many in DIGESTS.items() for d in many], "digest string, name string, whole boolean")
+        found = found.union(full)
     return found.groupBy("digest", "whole").agg(F.min("name").alias("name"))
 
 
