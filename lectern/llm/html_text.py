@@ -50,11 +50,41 @@ IMPLIED = {
 P_SCOPE = frozenset("table td th caption button object".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_HIDING = re.compile(r"(?:^|\s)hidden(?:\s*=|\s|/|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|type\s*=\s*[\"']?hidden\b", re.I)
+_HIDING = re.compile(r"hidden|style", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: up to the next semicolon outside quotes and brackets
+_DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))+")
 _START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d+)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Values by name in lower case; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def hides(tag: str, source: str) -> bool:
+    """Whether an element's own attributes hide it: hidden, an input's type, or CSS display and visibility."""
+    if not _HIDING.search(source):
+        return False
+    own = attributes(source)
+    if "hidden" in own or tag == "input" and own.get("type", "").strip().lower() == "hidden":
+        return True
+    rules: dict[str, tuple[bool, str]] = {}
+    for part in _DECLARATION.findall(_COMMENT.sub(" ", own.get("style", ""))):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        name = name.strip().lower()
+        # the last counts, but for important ones
+        if mark or not rules.get(name, (False, ""))[0]:
+            rules[name] = bool(mark), value.strip().lower()
+    return rules.get("display", (False, ""))[1] == "none" or rules.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+
+
 class Node:
     __slots__ = ("attrs", "children", "tag")
 
@@ -195,7 +225,7 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if tag in HIDDEN or node.attrs and _HIDING.search(node.attrs):
+            if tag in HIDDEN or node.attrs and hides(tag, node.attrs):
                 continue
             if tag == "br":
                 flow.end_line(force=True)
