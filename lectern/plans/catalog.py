@@ -231,6 +231,22 @@ def _page_map(spark, sf_dir):
     return structure.page_map(pages)
 
 
+_NUMBERED = rf"""lines_of AS (SELECT book, page, list_filter(list_transform(string_split_regex(text, '{structure.LINE_ENDS}'), lambda x: regexp_replace(x, '^{structure.BLANK}+|{structure.BLANK}+$', '', 'g')), lambda x: x <> '') AS l FROM pages),
+    numbered AS (SELECT book, page, translate(list_filter(l[:3] || l[greatest(len(l) - 2, 1):], lambda x: regexp_matches(x, '^\p{{Nd}}{{1,4}}$'))[1], '{structure.DIGITS}', '{structure.ASCII_DIGITS}')::INT AS printed FROM lines_of)"""
+
+
+@_query("printed_page_number", f"WITH {_PAGES}, {_NUMBERED} SELECT page, printed FROM numbered")
+def _printed(spark, sf_dir):
+    return book_pages(spark, sf_dir).select("page", structure.find_page_number(F.col("text")).alias("printed"))
+
+
+@_query("page_map_printed", f"""WITH {_PAGES}, {_NUMBERED}, a AS (SELECT book, page, CASE WHEN printed IS NOT NULL THEN {{'p': page, 'q': printed}} END AS k FROM numbered),
+    b AS (SELECT book, page, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY book ORDER BY page ROWS UNBOUNDED PRECEDING), first_value(k IGNORE NULLS) OVER (PARTITION BY book ORDER BY page ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS k FROM a)
+    SELECT book, page, k.q + page - k.p AS printed FROM b WHERE k IS NOT NULL""")
+def _page_map_printed(spark, sf_dir):
+    return structure.page_map(book_pages(spark, sf_dir).withColumn("anchor", structure.find_page_number(F.col("text"))))
+
+
 @_query("book_match", """WITH stems AS (SELECT lower(n_name) || '_file' AS stem FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT substr(n_name, 1, 3) FROM nation)
     SELECT stem, min_by(n_name, n_nationkey) AS book FROM stems JOIN nation ON contains(lower(stem), lower(n_name)) OR contains(lower(n_name), lower(stem)) GROUP BY stem""")
 def _match(spark, sf_dir):
