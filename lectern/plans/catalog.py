@@ -72,6 +72,7 @@ _words_sql = f"len(regexp_extract_all(text, '{_WORD}'))"
 _stripped = f"regexp_replace(text, {_STRIP})"
 _scalar("word_count", T.word_count, f"{_words_sql}::BIGINT")
 _scalar("slug", lambda x: T.slug(F.substring(x, 1, 40)), "coalesce(nullif(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9\\x{0600}-\\x{06FF}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x')")
+_scalar("slug_text", T.slug, "coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\x{0600}-\\x{06FF}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x')")
 _scalar("sentence_split_v1", lambda x: F.size(T.sentences(x)).cast("long"), f"len({_CLEAN_PARTS.format(_SENTENCES)})::BIGINT")
 _scalar("sentence_split_v2", lambda x: F.md5(F.array_join(T.sentences_strict(x), "\u0002")), "md5(array_to_string(" + _CLEAN_PARTS.format(rf"string_split(regexp_replace(text, '([.!?۔\x{{061F}}]){_WS}+([A-Za-z0-9\"''\x{{0600}}-\x{{06FF}}])', '\1' || chr(1) || '\2', 'g'), chr(1))") + ", chr(2)))")
 _scalar("paragraph_split", lambda x: F.size(T.paragraphs(x)).cast("long"), f"len({_CLEAN_PARTS.format(rf"string_split_regex(text, '\n{_WS}*\n')")})::BIGINT")
@@ -103,6 +104,8 @@ _scalar(
 _scalar("format_duration", lambda x: T.format_duration(F.length(x).cast("long")), "CASE WHEN length(text) // 3600 > 0 THEN (length(text) // 3600) || 'h' || CASE WHEN length(text) % 3600 > 0 THEN ' ' ELSE '' END ELSE '' END || CASE WHEN length(text) % 3600 // 60 > 0 THEN (length(text) % 3600 // 60) || 'm' || CASE WHEN length(text) % 60 > 0 THEN ' ' ELSE '' END ELSE '' END || CASE WHEN length(text) % 60 > 0 OR length(text) < 60 THEN (length(text) % 60) || 's' ELSE '' END")
 _scalar("json_response", lambda x: T.json_response(F.to_json(F.struct(F.struct(F.substring(x, 1, 60).alias("content")).alias("message")))), "substr(text, 1, 60)")
 
+_scalar("json_response_text", lambda x: T.json_response(F.to_json(F.struct(F.struct(x.alias("content")).alias("message")))), "text")
+
 
 @_query("chunk_id", "SELECT doc_id, sha256(source || '|' || CASE WHEN doc_id % 5 = 0 THEN 'None' ELSE doc_id::VARCHAR END || '|' || coalesce(text, '')) AS chunk_id FROM documents")
 def _chunk_id(spark, sf_dir):
