@@ -21,6 +21,10 @@ SLICE_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 20
 #: doc_ids that a broadcast may hold: 64 MB of numbers
 BROADCAST_IDS = 8_000_000
+#: keys that may be joined by broadcast for their many rows
+HOT_KEYS = 1000
+#: bytes of text in a partition
+PART_BYTES = 32 << 20
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 _U = np.uint64
@@ -39,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = known.get() if known.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -73,6 +79,25 @@ def mark_ids(df: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataF
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids.hint("shuffle_hash"), "doc_id", "left")
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str, share: int = HOT_KEYS) -> DataFrame:
+    """left joined with right, one row a key, where weight is the number of a key's rows in left.
+
+    Fewer than share keys can hold more than 1/share of all rows each: these rows of right
+    are broadcast, so a hot key's rows stay where they are; all others are dealt by key.
+    Both sides are read twice and should be stored.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) * share > total)
+    cold = right.where(F.col(weight) * share <= total)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
+def parts_for(spark: SparkSession, size: int | None, each: int = PART_BYTES) -> int:
+    """Partitions for so many bytes: what the session has, or more if they would be larger than each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size or 0) // each))
+
+
 # ---------------------------------------------------------------- arrays of words
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""

@@ -1,22 +1,30 @@
 """MinHash near-dedup: a signature-coordinate inverted join, confirmed on full shingle sets.
 
-Every distinct shingle set posts its signature under each (coordinate, value) pair.
-Postings are ordered from rare to common over the whole corpus. Sets that agree on at
-least `matches` of `coordinates` values must share one of the first
-`coordinates - matches + 1` of their own postings (prefix merging), so the longest
+Rows with equal shingle sets are one class. Every class posts its signature under each
+(coordinate, value) pair. Postings are ordered from rare to common over the whole corpus.
+Classes that agree on at least `matches` of `coordinates` values must share one of the
+first `coordinates - matches + 1` of their own postings (prefix merging), so the longest
 lists are never opened (skip merging). Collisions are counted over whole signatures,
 pairs with at least `matches` are kept and confirmed on full sets.
 
 Large lists are not expanded into pairs. Each member is first paired with its list's
-leader; only lists that still hold several components are then compared, in blocks, and
-a block returns a spanning set of links, not its pairs.
+leader; only lists that still hold several components go on. Those of more than `LONG`
+members are taken apart once more: classes that agree on `matches` values also share two
+of their first `coordinates - matches + 2` postings, so members are listed under pairs of
+postings. What is left is compared in blocks of bounded bytes, members outside a list's
+main component with all members; a block returns a spanning set of links, not its pairs.
+
+Keys that hold many rows (a text with many copies, a common posting, a leader with many
+members) are joined by broadcast of at most `HOT_KEYS` rows or dealt by a salt.
 
 Chance of overlooking a link exactly at the threshold with the defaults (16 coordinates,
 6 matches, similarity 0.85): P(Binomial(16, 0.85) < 6) < 3e-6, less above it.
 
 Defined cases: null text is empty; a text without words has no shingles and links with
-nothing; fewer words than a shingle make one shingle of all words; repeated rows of one
-doc_id count once (its smallest text digest); an empty table gives an empty result; other columns are not read.
+nothing; fewer words than a shingle make one shingle of all words; rows of one doc_id are
+one document that has the links of all its texts, and n_shingles is that of its smallest
+set; a row with a null doc_id links with nothing, has no component and is kept; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,14 +33,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, cut, grams, mix, slices, store, text_buffer, text_table
+from .common import Words, connected_components, grams, join_hot, mix, parts_for, slices, store, text_buffer, text_table
 
 COORDINATES = 16
 MATCHES = 6
+#: rows and bytes of the two sides of a block, and members from which a list is taken apart
 U_BLOCK, M_BLOCK = 256, 1024
+U_BYTES, M_BYTES = 1 << 20, 4 << 20
+LONG = 1024
 SALTS = 64
 _U = np.uint64
 _A = mix(np.arange(1, 129, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -70,28 +82,33 @@ def _signature(size: int, coordinates: int):
                         keys[full, k] = mix(np.minimum.reduceat(x, at) + _B[64 + k]).view(np.int64)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(counts), pa.array(digest, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), coordinates).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "keys"],
+                    [part["doc_id"], part["th"], pc.binary_length(part["text"]).cast(pa.int64()), pa.array(counts), pa.array(digest, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), coordinates).cast(pa.list_(pa.int64()))],
+                    ["doc_id", "th", "size", "n_shingles", "digest", "keys"],
                 )
 
     return run
 
 
 def _confirm(size: int, similarity: int):
-    """Pairs (a, b) whose full sets reach the similarity; ta, tb: their texts."""
+    """Of rows (a, salt, b, text) in this order, b null in the leader's own, the pairs whose full sets reach the similarity."""
 
     def run(batches):
         last, kept = None, None
         for batch in batches:
-            for part in slices(batch, "tb"):
-                a, b = (np.asarray(part[c]) for c in ("a", "b"))
-                right = shingle_sets(part["tb"], size)
+            for part in slices(batch):
+                a = np.asarray(part["a"])
+                leads = np.asarray(part["b"].is_null())
+                b = np.asarray(part["b"].fill_null(0))
+                sets = shingle_sets(part["text"], size)
                 ok = np.zeros(len(a), bool)
                 for i in range(len(a)):
+                    if leads[i]:
+                        last, kept = a[i], sets[i]
+                        continue
                     if a[i] != last:
-                        last, kept = a[i], shingle_sets(part["ta"].slice(i, 1), size)[0]
-                    both = len(np.intersect1d(kept, right[i], assume_unique=True))
-                    ok[i] = 100 * both >= similarity * (len(kept) + len(right[i]) - both)
+                        raise RuntimeError("a leader's text is missing")
+                    both = len(np.intersect1d(kept, sets[i], assume_unique=True))
+                    ok[i] = 100 * both >= similarity * (len(kept) + len(sets[i]) - both)
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     return run
@@ -190,64 +207,102 @@ def _block_links(size: int, similarity: int):
     return run
 
 
+def _lists(keyed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (key, ...), and (key, g) of keys with several rows."""
+    keyed = store(keyed, name)
+    return keyed, store(keyed.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), f"{name}-sizes")
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. similarity is in hundredths."""
-    texts = text_table(docs)
-    sketch = texts.mapInArrow(_signature(shingle, coordinates), "doc_id long, n_shingles long, digest binary, keys array<bigint>")
+    spark = docs.sparkSession
+    texts = text_table(docs).withColumn("th", F.xxhash64("text"))
+    sketch = texts.mapInArrow(_signature(shingle, coordinates), "doc_id long, th long, size long, n_shingles long, digest binary, keys array<bigint>")
     sketch = store(sketch, "sketch")
-    # classes of equal sets; the smallest doc_id stands for its class
-    classes = sketch.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = sketch.where("n_shingles > 0").join(classes, "digest").select("doc_id", "rep")
-    reps = sketch.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("of")), "doc_id").where("digest = of")
-    reps = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys")
-
-    posts = reps.select("rep", F.posexplode("keys").alias("k", "value")).select("rep", F.xxhash64("k", "value").alias("key"))
-    lengths = posts.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    shared = posts.join(lengths, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("length", "key"))).alias("all"))
+    full = sketch.where("n_shingles > 0 and doc_id is not null")
+    # classes of equal sets; one text stands for its class
+    classes = full.groupBy("digest").agg(F.count("*").alias("copies"), F.min_by(F.struct("doc_id", "th", "size", "n_shingles", "keys"), F.struct("doc_id", "th")).alias("x"))
+    classes = store(classes.select("digest", "copies", F.monotonically_increasing_id().alias("rep"), "x.*"), "classes")
+    members = store(join_hot(full.select("doc_id", "digest"), classes.select("digest", "copies", "rep"), "digest", "copies").select("doc_id", "rep").distinct(), "members")
+    reps = classes.select("rep", "size", F.col("n_shingles").alias("n"), "keys")
+
+    posts, lengths = _lists(reps.select("rep", F.posexplode("keys").alias("k", "value")).select("rep", F.xxhash64("k", "value").alias("key")), "posts")
+    shared = join_hot(posts, lengths, "key", "g").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("g", "key"))).alias("all"))
     # postings that nobody shares stand first in the order; of the rest, the matches - 1 longest are skipped
-    opened = shared.where(F.size("all") >= matches).select("rep", F.slice("all", F.lit(1), F.size("all") - (matches - 1)).alias("all"))
-    opened = store(opened.join(reps, "rep").select("rep", "n", "keys", F.transform("all", lambda x: x["key"]).alias("prefix")), "opened")
+    opened = shared.where(F.size("all") >= matches).select("rep", F.transform("all", lambda x: x["key"]).alias("all"))
+    opened = opened.join(reps, "rep").select("rep", "size", "n", "keys", F.slice("all", F.lit(1), F.size("all") - (matches - 1)).alias("prefix"), F.when(F.lit(matches > 1), F.slice("all", F.lit(1), F.size("all") - (matches - 2))).alias("wide"))
+    opened = store(opened, "opened")
     # texts of those that share a posting at all; the rest never needs them again
-    wanted = store(texts.join(opened.select(F.col("rep").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "wanted")
+    parts = parts_for(spark, sketch.agg(F.sum("size")).first()[0])
+    chosen = opened.select("rep").join(classes.select("rep", "doc_id", "th"), "rep")
+    wanted = store(texts.repartition(parts, "doc_id", "th").join(chosen, ["doc_id", "th"]).groupBy("doc_id", "th", "rep").agg(F.min("text").alias("text")).select("rep", "text"), "wanted")
 
-    lists = opened.select("rep", F.explode("prefix").alias("key"))
-    leaders = lists.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("g")).where("g > 1").select("key", "a")
-    pairs = lists.join(leaders, "key").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    lists, sizes = _lists(opened.select("rep", F.explode("prefix").alias("key")), "lists")
+    leaders = store(lists.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("g")).where("g > 1"), "leaders")
+    pairs = join_hot(lists, leaders, "key", "g").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
     one, two = (opened.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}")) for c in ("a", "b"))
+    pairs = store(pairs.join(two, "b"), "pairs")
+    one = store(pairs.groupBy("a").agg(F.count("*").alias("g")).join(one, "a"), "heads")
     collisions = sum(((F.col("ka")[i] == F.col("kb")[i]).cast("int") for i in range(coordinates)), F.lit(0))
-    pairs = pairs.join(two, "b").join(one, "a").where((collisions >= matches) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
-    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
-    pairs = cut(pairs)
-    left = pairs.select("a", "salt").distinct().join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    right = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    links = cut(right.join(left, ["a", "salt"]).select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, similarity), "a long, b long"))
-
-    links = links.union(_between_components(links, opened, wanted, shingle, similarity, matches))
-    components = connected_components(links)
-    found = members.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    found = found.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    sizes = sketch.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"))
-    out = sizes.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-
-
-def _between_components(links: DataFrame, opened: DataFrame, wanted: DataFrame, shingle: int, similarity: int, matches: int) -> DataFrame:
+    pairs = join_hot(pairs, one, "a", "g").where((collisions >= matches) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
+    pairs = store(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")), "candidates")
+    left = pairs.select("a", "salt").distinct().join(wanted.withColumnRenamed("rep", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    right = pairs.join(wanted.withColumnRenamed("rep", "b"), "b").select("a", "salt", "b", "text")
+    dealt = left.union(right).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "b")
+    links = store(dealt.mapInArrow(_confirm(shingle, similarity), "a long, b long"), "links")
+
+    # a document with several texts ties their classes
+    tied = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("g")).where("g > 1").select("doc_id", "a")
+    links = links.union(members.join(tied, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")))
+    found = connected_components(links)
+    more = _between_components(found, opened, lists, sizes, wanted, shingle, similarity, matches)
+    if not more.isEmpty():
+        found = connected_components(more.union(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    # components are named by the smallest doc_id of their classes
+    named = classes.select("rep", "copies", F.col("doc_id").alias("first")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("g"))
+    named, least = store(named, "named"), store(least, "components")
+    named = store(join_hot(named, least, "component", "g").select("rep", "copies", "component_id"), "classes-named")
+    ids = join_hot(members, named, "rep", "copies").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = sketch.where("doc_id is not null").groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles")).join(ids, "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.union(sketch.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long"), F.lit(True)))
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """(key, main: its largest component, us, ms: blocks of either side) of lists (key, comp, size) with several components."""
+    by = lists.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    x = by.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", F.col("comp").alias("c"), "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("comps > 1")
+    blocks = lambda n, size, rows, most: F.greatest(F.ceil(n / rows), F.ceil(size / most), F.lit(1))
+    return x.select("key", F.col("main.c").alias("main"), "n", blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"), U_BLOCK, U_BYTES).alias("us"), blocks(F.col("n"), F.col("size"), M_BLOCK, M_BYTES).alias("ms"))
+
+
+def _between_components(found: DataFrame, opened: DataFrame, lists: DataFrame, sizes: DataFrame, wanted: DataFrame, shingle: int, similarity: int, matches: int) -> DataFrame:
     """Links that leaders don't show: lists with several components, compared in blocks."""
-    found = connected_components(links).select(F.col("node").alias("rep"), "component")
-    lists = opened.join(found, "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("prefix").alias("key"))
-    lists = cut(lists)
-    heads = lists.groupBy("key").agg(F.min_by("comp", "rep").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "main")
-    lists = lists.join(heads, "key").withColumn("outer", F.col("comp") != F.col("main")).drop("main")
-    sizes = lists.groupBy("key").agg(F.ceil(F.sum(F.col("outer").cast("int")) / U_BLOCK).alias("us"), F.ceil(F.count("*") / M_BLOCK).alias("ms"))
-    lists = lists.join(sizes, "key").withColumn("ub", F.pmod(F.xxhash64("rep"), F.col("us"))).withColumn("mb", F.pmod(F.xxhash64("rep"), F.col("ms")))
+    known = found.select(F.col("node").alias("rep"), "component")
+    reps = store(opened.join(known, "rep", "left").select("rep", "size", F.coalesce("component", "rep").alias("comp"), "wide"), "grouped")
+    lists = join_hot(lists, sizes, "key", "g").join(reps, "rep")
+    short = lists.where(F.col("g") <= LONG).select("key", "rep", "comp", "size")
+    if matches > 1:
+        # members of long lists, under each pair of postings one of which is long
+        long = lists.where(F.col("g") > LONG).groupBy("rep").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.collect_set("key").alias("hot"))
+        pairs = F.flatten(F.transform("wide", lambda x, i: F.transform(F.slice("wide", i + 2, F.size("wide")), lambda y: F.when(F.array_contains("hot", x) | F.array_contains("hot", y), F.xxhash64(x, y)))))
+        long = long.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("key"), "rep", "comp", "size")
+    else:
+        long = lists.where(F.col("g") > LONG).select("key", "rep", "comp", "size")
+    lists = store(short.union(long), "members")
+    heads = store(_mixed(lists), "mixed")
+    lists = join_hot(lists, heads, "key", "n").withColumn("outer", F.col("comp") != F.col("main"))
+    lists = lists.withColumn("ub", F.pmod(F.xxhash64("rep"), F.col("us"))).withColumn("mb", F.pmod(F.xxhash64("rep"), F.col("ms")))
     outer = lists.where("outer").select("*", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("other")).select("key", "rep", "comp", "outer", F.col("ub").alias("i"), F.col("other").alias("j"))
     inner = lists.select("*", F.explode(F.sequence(F.lit(0), F.col("us") - 1)).alias("other")).select("key", "rep", "comp", F.lit(False).alias("outer"), F.col("other").alias("i"), F.col("mb").alias("j"))
-    rows = outer.union(inner).select(F.xxhash64("key", "i", "j").alias("block"), "rep", "comp", "outer")
-    rows = cut(rows)
+    rows = store(outer.union(inner).select(F.xxhash64("key", "i", "j").alias("block"), "rep", "comp", "outer"), "blocks")
     buckets = max(1, rows.count() // 20_000)
     rows = rows.join(opened.select("rep", "n", "keys"), "rep").withColumn("bucket", F.pmod("block", F.lit(buckets)))
     near = rows.groupBy("bucket").applyInArrow(_suspects(matches, similarity), "block long, rep long, outer boolean, comp long")
-    near = cut(near.distinct())
-    buckets = max(1, near.count() // 2_000)
-    near = near.join(wanted.select(F.col("doc_id").alias("rep"), "text"), "rep").withColumn("bucket", F.pmod("block", F.lit(buckets)))
-    return cut(near.groupBy("bucket").applyInArrow(_block_links(shingle, similarity), "a long, b long"))
+    near = store(near.distinct().join(opened.select("rep", "size"), "rep"), "suspects")
+    of = near.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    buckets = max(1, of["n"] // 2_000, (of["size"] or 0) // (M_BYTES + U_BYTES))
+    near = near.drop("size").join(wanted, "rep").withColumn("bucket", F.pmod("block", F.lit(buckets)))
+    return store(near.groupBy("bucket").applyInArrow(_block_links(shingle, similarity), "a long, b long"), "block-links")
