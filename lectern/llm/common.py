@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -64,9 +64,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_table(docs: DataFrame) -> DataFrame:
-    """doc_id long and text string (null: empty); other columns can't clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def text_table(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id long and text string (null: empty), and more; other columns can't clash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def mark_ids(df: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
@@ -79,7 +79,7 @@ def mark_ids(df: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataF
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids.hint("shuffle_hash"), "doc_id", "left")
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str, share: int = HOT_KEYS) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], weight: str, share: int = HOT_KEYS) -> DataFrame:
     """left joined with right, one row a key, where weight is the number of a key's rows in left.
 
     Fewer than share keys can hold more than 1/share of all rows each: these rows of right
@@ -89,7 +89,7 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str, share: int
     total = right.agg(F.sum(weight)).first()[0] or 0
     hot = right.where(F.col(weight) * share > total)
     cold = right.where(F.col(weight) * share <= total)
-    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti")
+    rest = left.join(F.broadcast(hot.select(*([on] if isinstance(on, str) else on))), on, "left_anti")
     return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
 
 
