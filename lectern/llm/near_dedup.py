@@ -8,8 +8,8 @@ lists are never opened (skip merging). Collisions are counted over whole signatu
 pairs with at least `matches` are kept and confirmed on full sets.
 
 Large lists are not expanded into pairs. Each member is first paired with its list's
-leader; only lists that still hold several components go on. Those of more than `LONG`
-members are taken apart once more: classes that agree on `matches` values also share two
+leader; only lists that still hold several components go on. Those that would make more
+than `BLOCKS` blocks are taken apart once more: classes that agree on `matches` values also share two
 of their first `coordinates - matches + 2` postings, so members are listed under pairs of
 postings. What is left is compared in blocks of bounded bytes, members outside a list's
 main component with all members; a block returns a spanning set of links, not its pairs.
@@ -41,10 +41,10 @@ from .common import Words, connected_components, grams, join_hot, mix, parts_for
 
 COORDINATES = 16
 MATCHES = 6
-#: rows and bytes of the two sides of a block, and members from which a list is taken apart
+#: rows and bytes of the two sides of a block, and blocks from which a list is taken apart
 U_BLOCK, M_BLOCK = 256, 1024
 U_BYTES, M_BYTES = 1 << 20, 4 << 20
-LONG = 1024
+BLOCKS = 256
 SALTS = 64
 _U = np.uint64
 _A = mix(np.arange(1, 129, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -282,17 +282,16 @@ def _between_components(found: DataFrame, opened: DataFrame, lists: DataFrame, s
     """Links that leaders don't show: lists with several components, compared in blocks."""
     known = found.select(F.col("node").alias("rep"), "component")
     reps = store(opened.join(known, "rep", "left").select("rep", "size", F.coalesce("component", "rep").alias("comp"), "wide"), "grouped")
-    lists = join_hot(lists, sizes, "key", "g").join(reps, "rep")
-    short = lists.where(F.col("g") <= LONG).select("key", "rep", "comp", "size")
-    if matches > 1:
-        # members of long lists, under each pair of postings one of which is long
-        long = lists.where(F.col("g") > LONG).groupBy("rep").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.collect_set("key").alias("hot"))
-        pairs = F.flatten(F.transform("wide", lambda x, i: F.transform(F.slice("wide", i + 2, F.size("wide")), lambda y: F.when(F.array_contains("hot", x) | F.array_contains("hot", y), F.xxhash64(x, y)))))
-        long = long.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("key"), "rep", "comp", "size")
-    else:
-        long = lists.where(F.col("g") > LONG).select("key", "rep", "comp", "size")
-    lists = store(short.union(long), "members")
+    lists = store(join_hot(lists, sizes, "key", "g").join(reps, "rep").select("key", "rep", "comp", "size"), "members")
     heads = store(_mixed(lists), "mixed")
+    many = heads.where(F.col("us") * F.col("ms") > BLOCKS)
+    if matches > 1 and not many.isEmpty():
+        # members of such lists, under each pair of postings one of which is such a list
+        long = join_hot(lists, many.select("key", "n"), "key", "n").groupBy("rep").agg(F.collect_set("key").alias("hot")).join(reps, "rep")
+        pairs = F.flatten(F.transform("wide", lambda x, i: F.transform(F.slice("wide", i + 2, F.size("wide")), lambda y: F.when(F.array_contains("hot", x) | F.array_contains("hot", y), F.xxhash64(x, y)))))
+        long = store(long.select(F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("key"), "rep", "comp", "size"), "members-pairs")
+        heads = store(heads.where(F.col("us") * F.col("ms") <= BLOCKS).union(_mixed(long)), "mixed-pairs")
+        lists = lists.union(long)
     lists = join_hot(lists, heads, "key", "n").withColumn("outer", F.col("comp") != F.col("main"))
     lists = lists.withColumn("ub", F.pmod(F.xxhash64("rep"), F.col("us"))).withColumn("mb", F.pmod(F.xxhash64("rep"), F.col("ms")))
     outer = lists.where("outer").select("*", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("other")).select("key", "rep", "comp", "outer", F.col("ub").alias("i"), F.col("other").alias("j"))
