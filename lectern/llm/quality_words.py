@@ -12,8 +12,8 @@ but the ids of trusted documents (mark_ids).
 A document that the model has read looks better than it is. Therefore the trusted are
 dealt into two halves by doc_id, and each is scored by the model of the other half (by
 that of all, if the other is empty); all others are scored by the model of all. The
-threshold lies as far above the `QUANTILE` quantile of the trusted's losses as that lies
-above their median, times `SLACK` less one, as in quality_lm.
+threshold is the `QUANTILE` quantile of the losses of the language's trusted documents,
+read from counts in bins of 1/10000: the upper end of its bin.
 
 Words and n-grams are told apart by 64-bit hashes.
 
@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mark_ids, mix, slices, store, text_buffer
-from .quality_lm import BINS, QUANTILE, SLACK, _levels, trusted_ids
+from .quality_lm import BINS, _levels, trusted_ids
+
+QUANTILE = 0.99
 
 #: rows of a slice, so that two bytes hold a place in it
 ROWS = 60_000
@@ -297,14 +299,14 @@ def quality_scores(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return sums.groupBy("block").applyInArrow(_gather(unknown), "doc_id long, lang string, n_scored long, loss double")
 
 
-def quality_words(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def quality_words(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """One row per row of docs: doc_id, lang, n_scored, perplexity, threshold (perplexity), kept."""
     ids = trusted_ids(labels)
     scores = store(quality_scores(docs, ids), "scores")
     trusted = scores.where("loss is not null").join(ids, "doc_id", "left_semi")
     binned = trusted.groupBy("lang", F.floor(F.col("loss") * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    by_lang = _levels(binned, "lang", quantile, slack)
-    overall = _levels(binned.withColumn("every", F.lit(1)), "every", quantile, slack).first()
+    by_lang = _levels(binned, "lang", quantile, 1.0)
+    overall = _levels(binned.withColumn("every", F.lit(1)), "every", quantile, 1.0).first()
     default = F.lit(overall["threshold"] if overall else None).cast("double")
     found = scores.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", default))
     kept = F.col("loss").isNotNull() & (F.col("threshold").isNull() | (F.col("loss") <= F.col("threshold")))
