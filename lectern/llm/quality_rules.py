@@ -8,8 +8,9 @@ n-grams; a document is kept if it passes the base rules and its score reaches
 doesn't depend on the order of sums.
 
 Only DataFrame functions run. The corpus is exploded to bucket numbers that are counted
-map-side, so a shuffle carries at most one row a bucket and task; the ratio table has
-`buckets` rows whatever the input, which bounds its broadcast.
+map-side, so a shuffle carries at most one row a bucket and task. The ratios are one array
+of `buckets` numbers whatever the input, which is part of the plan; texts are scored where
+they are read and nothing of them is shuffled.
 
 Defined cases: null text has no words and fails the base rules; a text without n-grams
 scores 0; each row is judged for itself, repeated doc_ids too; without trusted documents
@@ -81,22 +82,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return d.select(*base, F.size(w).cast("long").alias("n_words"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def explode_buckets(df: DataFrame, buckets: int, *names: str) -> DataFrame:
-    """names and bucket: a row for each word and one for each pair of neighbours; a text without words has one row without bucket."""
+def buckets_of(buckets: int) -> Column:
+    """Bucket numbers of all words, and of all pairs of neighbours, of the column words."""
     w = F.col("words")
-    pairs = F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b"))
-    rows = df.select(*names, F.explode_outer(pairs).alias("p"))
-    both = F.array(F.pmod(F.xxhash64("p.a"), F.lit(buckets)).cast("int"), F.when(F.col("p.b").isNotNull(), F.pmod(F.xxhash64("p.a", "p.b"), F.lit(buckets)).cast("int")))
-    rows = rows.select(*names, F.col("p").isNull().alias("none"), F.explode(both).alias("bucket"))
-    return rows.select(*names, F.when(~F.col("none"), F.col("bucket")).alias("bucket"))
+    place = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
+    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: place(x, F.get(w, i + 1)))
+    return F.concat(F.transform(w, lambda x: place(x)), pairs)
 
 
 def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, ratio: log of target over raw probability, in millionths."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("target"))
     marked = mark_ids(text_table(docs), good.where("target = 1"))
-    grams = explode_buckets(marked.select(word_array().alias("words"), "target"), buckets, "target").where("bucket is not null")
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
+    grams = marked.select(word_array().alias("words"), "target").select("target", F.explode(buckets_of(buckets)).alias("bucket"))
+    counts = store(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target")), "counts")
     sums = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()
     raw, target = sums["all_raw"] or 0, sums["all_target"] or 0
     ratio = F.log((F.col("target") + 1) / F.lit(float(target + buckets))) - F.log((F.col("raw") + 1) / F.lit(float(raw + buckets)))
@@ -105,13 +104,14 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: base counts, base_failed, llr (mean log ratio), kept."""
-    ratios = store(bucket_ratios(docs, labels, buckets), "ratios")
+    ratios = bucket_ratios(docs, labels, buckets)
+    # at most `buckets` pairs of numbers, whatever the input; as one constant, which is folded once
+    known = {r["bucket"]: r["ratio"] for r in ratios.collect()}
+    every = F.split(F.lit(",".join(str(known.get(k, 0)) for k in range(buckets))), ",").cast("array<bigint>")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = base_counts(docs).select(F.monotonically_increasing_id().alias("row"), *names, "words")
-    rows = explode_buckets(rows, buckets, "row", *names)
-    # at most `buckets` rows of 16 bytes
-    scored = rows.join(F.broadcast(ratios), "bucket", "left")
-    sums = scored.groupBy("row", *names).agg(F.sum("ratio").alias("total"), F.count("bucket").alias("grams"))
-    llr = F.when(F.col("grams") > 0, F.coalesce("total", F.lit(0)) / F.col("grams") / 1e6).otherwise(0.0)
+    total = F.aggregate(buckets_of(buckets), F.lit(0).cast("long"), lambda s, x: s + F.get(every, x))
+    grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
+    scored = base_counts(docs).select(*names, total.alias("total"), grams.alias("grams"))
+    llr = F.when(F.col("grams") > 0, F.col("total") / F.col("grams") / 1e6).otherwise(0.0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return sums.select(*names, failed.alias("base_failed"), llr.alias("llr")).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return scored.select(*names, failed.alias("base_failed"), llr.alias("llr")).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
