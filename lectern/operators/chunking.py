@@ -1,17 +1,90 @@
 """Chunking: sentence windows with overlap, parents over children, fixed windows, links.
 
-A chunker is a fold with one step an iteration: extend the window by a sentence, or emit it
-and restart. Sentence counts are materialised before the fold.
+A chunker is a greedy walk over the word counts of a section's sentences, one step a
+sentence; it runs over Arrow batches, as no built-in function carries a list that grows
+without copying it.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_SPAN = "array<struct<start:int,end:int,words:int>>"
+_SPAN = "array<struct<start:int,end:int,words:int,w0:int,w1:int>>"
+
+
+def _walk(counts, step) -> list[dict]:
+    """Spans by step(start) -> (end, next start); w0 and w1 are the words before a span's begin and end."""
+    before, out, start = [0], [], 0
+    for c in counts:
+        before.append(before[-1] + int(c))
+    while start < len(counts):
+        end, following = step(start)
+        out.append({"start": start, "end": end, "words": before[end] - before[start], "w0": before[start], "w1": before[end]})
+        if end >= len(counts):
+            break
+        start = following
+    return out
+
+
+def _child_step(counts, least: int, most: int, overlap: int):
+    def step(start: int) -> tuple[int, int]:
+        end, words = start, 0
+        while end < len(counts) and (words == 0 or words + counts[end] <= most):
+            words += counts[end]
+            end += 1
+        if words < least and end < len(counts):
+            end += 1
+        return end, max(end - overlap, start + 1)
+
+    return step
+
+
+def _topic_step(counts, least: int, most: int, overlap: int):
+    def step(start: int) -> tuple[int, int]:
+        end, words = start, 0
+        while end < len(counts) and (end == start or words + counts[end] <= most) and not (end > start and words >= least):
+            words += counts[end]
+            end += 1
+        return end, max(end - overlap, start + 1)
+
+    return step
+
+
+def _share_back(counts, start: int, end: int, wanted: float) -> int:
+    """How many sentences from the end make up the wanted words; one at least."""
+    back = words = 0
+    for k in range(end - 1, start - 1, -1):
+        words += counts[k]
+        back += 1
+        if words >= wanted:
+            break
+    return back
+
+
+def _share_step(counts, least: int, most: int, share: float):
+    """Filled up to least words, over most only by the first sentence; the next begins with the last share of the words."""
+
+    def step(start: int) -> tuple[int, int]:
+        end, words = start, 0
+        while end < len(counts) and (end == start or words + counts[end] <= most):
+            words += counts[end]
+            end += 1
+            if words >= least:
+                break
+        return end, max(start + 1, end - _share_back(counts, start, end, words * share))
+
+    return step
+
+
+def _spans(make, *options) -> Column:
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda c: _walk(c, make(c, *options)))
+
+    return F.pandas_udf(run, _SPAN)
 
 
 def sentence_windows(counts: Column, least: int, most: int, overlap: int, greedy: bool = True) -> Column:
@@ -20,26 +93,60 @@ def sentence_windows(counts: Column, least: int, most: int, overlap: int, greedy
     greedy: fill up to most, and take one more sentence if under least (child chunks);
     else stop as soon as least is reached (topic chunks).
     """
-    n = F.size(counts)
-    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("w"), F.array().cast(_SPAN).alias("out"))
-
-    def step(x: Column, _: Column) -> Column:
-        s, e, w = x["s"], x["e"], x["w"]
-        take = F.coalesce(F.get(counts, e), F.lit(0))
-        more = (e < n) & ((e == s if not greedy else w == 0) | (w + take <= most))
-        if not greedy:
-            more = more & ~((e > s) & (w >= least))
-        late = (e < n) & (w < least) if greedy else F.lit(False)
-        end, words = e + late.cast("int"), w + F.when(late, take).otherwise(0)
-        again = F.when(end >= n, -1).otherwise(F.greatest(end - overlap, s + 1))
-        emitted = F.array_append(x["out"], F.struct(s.alias("start"), end.alias("end"), words.alias("words")))
-        as_is = F.struct(s.alias("s"), e.alias("e"), w.alias("w"), x["out"].alias("out"))
-        grown = F.struct(s.alias("s"), (e + 1).alias("e"), (w + take).alias("w"), x["out"].alias("out"))
-        shut = F.struct(again.alias("s"), again.alias("e"), F.lit(0).alias("w"), emitted.alias("out"))
-        return F.when(s < 0, as_is).when(more, grown).otherwise(shut)
-
-    steps = F.sequence(F.lit(1), (overlap + 3) * n + 2)
-    return F.when(n > 0, F.aggregate(steps, start, step, lambda x: x["out"])).otherwise(F.array().cast(_SPAN))
+    return _spans(_child_step if greedy else _topic_step, least, most, overlap)(counts)
+
+
+def share_windows(counts: Column, least: int = 250, most: int = 350, share: float = 0.2) -> Column:
+    """Spans of least to most words; each begins with the last share of the words of the one before."""
+    return _spans(_share_step, least, most, share)(counts)
+
+
+def _tail_spans(counts, target: int, share: float) -> list[dict]:
+    before, out, start, words = [0], [], 0, 0
+    for c in counts:
+        before.append(before[-1] + int(c))
+    span = lambda a, z: {"start": a, "end": z, "words": before[z] - before[a], "w0": before[a], "w1": before[z]}
+    for end, c in enumerate(counts, 1):
+        words += int(c)
+        if words >= target:
+            out.append(span(start, end))
+            start = end - _share_back(counts, start, end, int(words * share))
+            words = before[end] - before[start]
+    if start < len(counts):
+        out.append(span(start, len(counts)))
+    return out
+
+
+def tail_windows(counts: Column, target: int = 300, share: float = 0.2) -> Column:
+    """Spans that end when target words are reached; the last share of them begins the next, and what remains is a span too."""
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda c: _tail_spans(c, target, share))
+
+    return F.pandas_udf(run, _SPAN)(counts)
+
+
+def parent_numbers(words: Column, least: int = 180, most: int = 300) -> Column:
+    """The parent of each child from the children's words: a parent closes when a child would overfill it and it has enough."""
+
+    def number(counts) -> list[int]:
+        out, parent, total = [], 0, 0
+        for n, w in enumerate(counts):
+            if n and total + w > most and total >= least:
+                parent, total = parent + 1, 0
+            total += w
+            out.append(parent)
+        return out
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(number)
+
+    return F.pandas_udf(run, "array<int>")(words)
+
+
+def heading_of(sentences: Column, chunk: Column) -> Column:
+    """The heading of the first of the sentences, an array of struct(text, heading), that the chunk holds."""
+    return F.get(F.filter(sentences, lambda s: chunk.contains(s["text"])), F.lit(0))["heading"]
 
 
 def child_chunks(sentences: DataFrame, least: int = 60, most: int = 120, overlap: int = 1) -> DataFrame:
@@ -54,17 +161,10 @@ def topic_chunks(sentences: DataFrame, least: int = 40, most: int = 90, overlap:
 
 
 def parent_groups(children: DataFrame, least: int = 180, most: int = 300) -> DataFrame:
-    """doc_id, seq, words -> with parent: a parent closes when a child would overfill it and it has enough."""
+    """doc_id, seq, words -> with parent."""
     lists = children.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "words"))).alias("c"))
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("w"), F.array().cast("array<struct<seq:int,words:int,parent:int>>").alias("out"))
-
-    def step(x: Column, c: Column) -> Column:
-        shut = (x["w"] > 0) & (x["w"] + c["words"] > most) & (x["w"] >= least)
-        p = x["p"] + shut.cast("int")
-        w = F.when(shut, c["words"]).otherwise(x["w"] + c["words"])
-        return F.struct(p.alias("p"), w.alias("w"), F.array_append(x["out"], F.struct(c["seq"].alias("seq"), c["words"].alias("words"), p.alias("parent"))).alias("out"))
-
-    return lists.select("doc_id", F.explode(F.aggregate("c", start, step, lambda x: x["out"])).alias("x")).select("doc_id", "x.seq", "x.words", "x.parent")
+    lists = lists.withColumn("p", parent_numbers(F.transform("c", lambda x: x["words"].cast("int")), least, most))
+    return lists.select("doc_id", F.inline(F.arrays_zip("c", "p"))).select("doc_id", "c.seq", "c.words", F.col("p").alias("parent"))
 
 
 def fixed_windows(texts: DataFrame, size: int = 400, overlap: int = 60, least: int = 25) -> DataFrame:

@@ -37,12 +37,64 @@ def repeated_lines(pages: DataFrame, frequency: float = 0.5) -> DataFrame:
     return counts.join(_threshold(pages, frequency), "book").where("hits >= least").select("book", "norm", "hits")
 
 
-def keyword_lines(pages: DataFrame, keywords: list[str]) -> DataFrame:
-    """Lines that hold one of the keywords: printed stamps and the like."""
+def valid_patterns(patterns: list[str]) -> list[str]:
+    """The patterns that Java can compile, case-insensitive; others are left out."""
+    from pyspark.sql import SparkSession
+
+    java = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern
+    out = []
+    for p in patterns:
+        try:
+            java.compile(p, java.CASE_INSENSITIVE)
+        except Exception:  # noqa: BLE001 - whatever Java objects to
+            continue
+        out.append(f"(?i){p}")
+    return out
+
+
+def is_stamp(line: Column, keywords: list[str] = (), patterns: list[str] = ()) -> Column:
+    """Whether a line holds one of the keywords, in any case, or matches one of the patterns."""
     hit: Column = F.lit(False)
     for k in keywords:
-        hit = hit | F.col("norm").contains(k.lower())
-    return page_lines(pages).where(hit).select("book", "norm").distinct()
+        if k:
+            hit = hit | F.lower(line).contains(k.lower())
+    for p in valid_patterns(list(patterns)):
+        hit = hit | line.rlike(p)
+    return hit
+
+
+def keyword_lines(pages: DataFrame, keywords: list[str] = (), patterns: list[str] = ()) -> DataFrame:
+    """book, page, norm of lines with a keyword or pattern: printed stamps and the like, one hit is enough."""
+    lines = page_lines(pages).where("norm <> ''")
+    return lines.where(is_stamp(T.strip(F.col("line")), keywords, patterns)).select("book", "page", "norm").distinct()
+
+
+def styled_lines(lines: DataFrame, rotation: float = 0.05, ratio: float = 1.6, light: float = 200) -> DataFrame:
+    """book, page, text, norm, rotated, size_ratio, too_light of lines set unlike the body: rotated, oversized or near white.
+
+    lines: book, page, dir_y, spans (array of struct(text, size, color)). The body's size
+    is the median of level lines of 8 characters or more.
+    """
+    from ..functions.labels import light_color
+
+    text = T.strip(F.array_join(F.transform("spans", lambda x: F.coalesce(x["text"], F.lit(""))), ""))
+    held = F.filter("spans", lambda x: T.strip(F.coalesce(x["text"], F.lit(""))) != "")
+    sizes = F.transform(held, lambda x: F.coalesce(x["size"].cast("double"), F.lit(0.0)))
+    size = F.when(F.size(held) > 0, F.aggregate(sizes, F.lit(0.0), lambda a, b: a + b) / F.size(held)).otherwise(0.0)
+    d = lines.select("book", "page", text.alias("text"), size.alias("size"), F.coalesce(F.get(held, F.lit(0))["color"].cast("int"), F.lit(0)).alias("color"), (F.abs(F.col("dir_y")) > rotation).alias("rotated")).where("text <> ''")
+    level = F.when(~F.col("rotated") & (F.length("text") >= 8) & (F.col("size") > 0), F.col("size"))
+    d = d.withColumn("body", F.coalesce(F.median(level).over(Window.partitionBy("book", "page")), F.lit(0.0)))
+    of = F.when(F.col("body") > 0, F.col("size") / F.col("body")).otherwise(1.0)
+    d = d.withColumn("size_ratio", F.round(of, 2)).withColumn("too_light", light_color(F.col("color"), light)).where(F.col("rotated") | ((F.col("body") > 0) & (of >= ratio)) | F.col("too_light"))
+    return d.select("book", "page", "text", T.norm_line(F.col("text")).alias("norm"), "rotated", "size_ratio", "too_light")
+
+
+def boilerplate(edges: DataFrame, pages: DataFrame, share: float = 0.4) -> DataFrame:
+    """norm, hits of head and foot lines (book, page, line) on many pages: digits count as one, least is rounded down, 2 at least."""
+    norm = F.regexp_replace(F.regexp_replace(F.lower(T.strip(F.col("line"))), "[0-9]+", "#"), rf"{T.WHITE}+", " ")
+    counts = edges.select("book", "page", norm.alias("norm")).where("norm <> ''").distinct().groupBy("book", "norm").agg(F.count("*").alias("hits"))
+    least = pages.groupBy("book").agg(F.greatest(F.lit(2), F.floor(F.count("*") * share)).alias("least"))
+    return counts.join(least, "book").where("hits >= least").select("book", "norm", "hits")
 
 
 def in_page_repeats(pages: DataFrame, least: int = 3) -> DataFrame:
@@ -50,10 +102,18 @@ def in_page_repeats(pages: DataFrame, least: int = 3) -> DataFrame:
     return lines.groupBy("book", "page", "norm").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
 
 
-def artifacts(pages: DataFrame, edge: float = 0.7, anywhere: float = 0.5, keywords: list[str] | None = None) -> DataFrame:
-    """Union of the detectors: book, norm."""
-    found = edge_artifacts(pages, edge).select("book", "norm").union(repeated_lines(pages, anywhere).select("book", "norm"))
-    return (found.union(keyword_lines(pages, keywords)) if keywords else found).distinct()
+def artifacts(pages: DataFrame, edge: float = 0.7, anywhere: float = 0.5) -> DataFrame:
+    """Union of the detectors that look at whole books: book, norm."""
+    return edge_artifacts(pages, edge).select("book", "norm").union(repeated_lines(pages, anywhere).select("book", "norm")).distinct()
+
+
+def page_artifacts(pages: DataFrame, keywords: list[str] = (), patterns: list[str] = (), styled: DataFrame | None = None) -> DataFrame:
+    """Union of the detectors that look at one page: book, page, norm of stamps, of styled lines, and of the printed page number."""
+    from .structure import find_page_number
+
+    number = pages.select("book", "page", find_page_number(F.col("text")).cast("string").alias("norm")).where("norm is not null")
+    found = keyword_lines(pages, keywords, patterns).union(number)
+    return (found.union(styled.select("book", "page", "norm")) if styled is not None else found).distinct()
 
 
 def remove_artifacts(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -64,14 +124,67 @@ def remove_artifacts(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 def join_lines(lines: Column) -> Column:
     """Wrapped lines as one paragraph; a hyphen at a line's end joins without a blank."""
-    return F.aggregate(lines, F.lit(""), lambda s, x: F.when(s == "", x).when(s.endswith("-"), F.concat(F.substring(s, F.lit(1), F.length(s) - 1), x)).otherwise(F.concat(s, F.lit(" "), x)))
-
-
-def clean_pages(pages: DataFrame, edge: float = 0.7, anywhere: float = 0.5, keywords: list[str] | None = None) -> DataFrame:
-    """book, page, clean_text, removed: all steps, a row a page."""
-    kept = remove_artifacts(pages, artifacts(pages, edge, anywhere, keywords)).where("norm <> ''")
-    text = kept.groupBy("book", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-    text = text.select("book", "page", join_lines(F.transform("lines", lambda x: T.strip(x["line"]))).alias("clean_text"), F.size("lines").alias("left"))
-    total = page_lines(pages).where("norm <> ''").groupBy("book", "page").agg(F.count("*").alias("all"))
-    out = pages.select("book", "page").join(total, ["book", "page"], "left").join(text, ["book", "page"], "left")
-    return out.select("book", "page", F.coalesce("clean_text", F.lit("")).alias("clean_text"), (F.coalesce("all", F.lit(0)) - F.coalesce("left", F.lit(0))).alias("removed"))
+    flat = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, rf"{T.WHITE}+", " ")))
+    last = F.size(lines) - 1
+    return F.array_join(F.transform(flat, lambda x, i: F.when(i == last, x).when(x.endswith("-"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(F.concat(x, F.lit(" ")))), "")
+
+
+def structure_codes(lines: Column) -> Column:
+    """One character for each of a page's lines, an array of struct(table, artifact, heading, blank): t table row, h heading, else a dash.
+
+    A table is two or more neighbouring rows, at most 12; an artifact never begins one and
+    is no heading. The fold carries only the rows left and the characters.
+    """
+    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("left"))
+    beside = F.transform(lines, lambda x, i: F.struct(x["table"].alias("table"), x["artifact"].alias("artifact"), x["heading"].alias("heading"), F.coalesce(F.get(lines, i + 1)["table"], F.lit(False)).alias("next")))
+
+    def step(s: Column, x: Column) -> Column:
+        on = x["table"] & (s["left"] > 0)
+        begins = ~on & x["table"] & ~x["artifact"] & x["next"]
+        code = F.when(on | begins, "t").when(x["heading"] & ~x["artifact"], "h").otherwise("-")
+        return F.struct(F.concat(s["out"], code).alias("out"), F.when(on, s["left"] - 1).when(begins, 11).otherwise(0).alias("left"))
+
+    return F.aggregate(beside, state, step, lambda s: s["out"])
+
+
+def typed_lines(pages: DataFrame, book_found: DataFrame, page_found: DataFrame) -> DataFrame:
+    """book, page, line_no, line (trimmed), norm, artifact, code of every line."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
+    lines = page_lines(pages.select("book", "page", text.alias("text")))
+    lines = lines.join(book_found.select("book", "norm", F.lit(1).alias("b")), ["book", "norm"], "left").join(page_found.select("book", "page", "norm", F.lit(1).alias("p")), ["book", "page", "norm"], "left")
+    x = T.strip(F.col("line"))
+    row = F.struct("line_no", x.alias("line"), "norm", (F.col("b").isNotNull() | F.col("p").isNotNull()).alias("artifact"), ((x != "") & T.is_table_line(x)).alias("table"), T.is_heading_like(x).alias("heading"))
+    # one page's lines
+    listed = lines.groupBy("book", "page").agg(F.sort_array(F.collect_list(row)).alias("lines"))
+    listed = listed.withColumn("codes", F.split(structure_codes(F.col("lines")), ""))
+    return listed.select("book", "page", F.inline(F.arrays_zip("lines", "codes"))).select("book", "page", "lines.line_no", "lines.line", "lines.norm", "lines.artifact", F.col("codes").alias("code"))
+
+
+def clean_pages(pages: DataFrame, edge: float = 0.7, anywhere: float = 0.5, keywords: list[str] = (), patterns: list[str] = (), styled: DataFrame | None = None, repeat: int = 3) -> DataFrame:
+    """book, page, clean_text, removed (different artifact lines), printed (page number): a row a page.
+
+    Tables and headings stay as they are, also in number; artifacts, noise and lines met
+    `repeat` times on the page go; wrapped lines are joined within paragraphs, which blank
+    lines part.
+    """
+    from .structure import find_page_number
+
+    lines = typed_lines(pages, artifacts(pages, edge, anywhere), page_artifacts(pages, keywords, patterns, styled))
+    lines = lines.repartition("book", "page").withColumn("kept", (F.col("line") == "") | (F.col("code") != "-") | (~F.col("artifact") & (T.is_heading_like(F.col("line")) | ~T.is_noise(F.col("line")))))
+    removed = lines.where("artifact and line <> ''").groupBy("book", "page").agg(F.count_distinct("norm").alias("removed"))
+    plain = F.col("kept") & (F.col("line") != "") & (F.col("code") == "-")
+    again = F.count(F.when(plain, 1)).over(Window.partitionBy("book", "page", "norm"))
+    lines = lines.where("kept").withColumn("again", again).where((F.col("line") == "") | (F.col("code") != "-") | (F.col("again") < repeat) | T.is_heading_like(F.col("line")))
+    order = Window.partitionBy("book", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("block", F.count(F.when(F.col("line") == "", 1)).over(order)).where("line <> ''")
+    # a protected line is a part of its own
+    before = F.lag("code").over(Window.partitionBy("book", "page", "block").orderBy("line_no"))
+    lines = lines.withColumn("new", ((F.col("code") != "-") | F.coalesce(before != "-", F.lit(True))).cast("int"))
+    lines = lines.withColumn("part", F.sum("new").over(order))
+    parts = lines.groupBy("book", "page", "block", "part").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"), F.max("code").alias("code"))
+    text = F.when(F.col("code") == "-", join_lines(F.transform("x", lambda v: v["line"]))).otherwise(F.col("x")[0]["line"])
+    listed = lambda *keys: F.transform(F.sort_array(F.collect_list(F.struct(*keys, "text"))), lambda v: v["text"])
+    blocks = parts.select("book", "page", "block", "part", text.alias("text")).groupBy("book", "page", "block").agg(F.array_join(listed("part"), "\n").alias("text"))
+    clean = blocks.groupBy("book", "page").agg(F.array_join(listed("block"), "\n\n").alias("clean_text"))
+    out = pages.select("book", "page", find_page_number(F.col("text")).alias("printed")).join(clean, ["book", "page"], "left").join(removed, ["book", "page"], "left")
+    return out.select("book", "page", F.coalesce("clean_text", F.lit("")).alias("clean_text"), F.coalesce("removed", F.lit(0)).alias("removed"), "printed")

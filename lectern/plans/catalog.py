@@ -25,6 +25,8 @@ _LINES = f"{_PAGES}, raw AS (SELECT book, page, unnest(string_split(text, chr(10
 _PURE = "regexp_matches(norm, '^([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,8})$')"
 _HEADING = r"regexp_matches(norm, '(?i)^(unit|chapter|lesson|section|topic|module|part|exercise|question|q)([^\p{L}\p{N}_]|$)')"
 _NOISE = rf"(regexp_replace(line, {_STRIP}) <> '' AND (length(regexp_replace(line, '[^\p{{L}}\p{{N}}]', '', 'g')) = 0 OR (length(line) >= 4 AND 10 * length(regexp_replace(line, '[^\p{{L}}\p{{N}}]', '', 'g')) < 3 * length(line))))"
+STAMP_WORDS, STAMP_PATTERNS = ["License", "Not for sale"], [r"copyright (\(c\)|©)? ?[0-9]{4}", "(unclosed"]
+_STAMP = rf"(contains(lower(line), 'license') OR contains(lower(line), 'not for sale') OR regexp_matches(regexp_replace(line, {_STRIP}), '(?i)copyright (\(c\)|©)? ?[0-9]{{4}}'))"
 _LEAST = "least AS (SELECT book, greatest(2, ceil(count(*) * 0.05)) AS least FROM pages GROUP BY book HAVING count(*) >= 2)"
 _EDGE = f"""edge AS (SELECT book, norm, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY line_no) AS up,
     row_number() OVER (PARTITION BY book, page ORDER BY line_no DESC) AS down FROM lines WHERE norm <> '') WHERE (up <= 3 OR down <= 3) AND NOT {_PURE} GROUP BY book, norm),
@@ -71,8 +73,7 @@ def _scalar(name: str, column: Callable, sql: str, source: str = "documents", ke
 _words_sql = f"len(regexp_extract_all(text, '{_WORD}'))"
 _stripped = f"regexp_replace(text, {_STRIP})"
 _scalar("word_count", T.word_count, f"{_words_sql}::BIGINT")
-_scalar("slug", lambda x: T.slug(F.substring(x, 1, 40)), "coalesce(nullif(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9\\x{0600}-\\x{06FF}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x')")
-_scalar("slug_text", T.slug, "coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\x{0600}-\\x{06FF}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x')")
+_scalar("slug", T.slug, "coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\x{0600}-\\x{06FF}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x')")
 _scalar("sentence_split_v1", lambda x: F.size(T.sentences(x)).cast("long"), f"len({_CLEAN_PARTS.format(_SENTENCES)})::BIGINT")
 _scalar("sentence_split_v2", lambda x: F.md5(F.array_join(T.sentences_strict(x), "\u0002")), "md5(array_to_string(" + _CLEAN_PARTS.format(rf"string_split(regexp_replace(text, '([.!?۔\x{{061F}}]){_WS}+([A-Za-z0-9\"''\x{{0600}}-\x{{06FF}}])', '\1' || chr(1) || '\2', 'g'), chr(1))") + ", chr(2)))")
 _scalar("paragraph_split", lambda x: F.size(T.paragraphs(x)).cast("long"), f"len({_CLEAN_PARTS.format(rf"string_split_regex(text, '\n{_WS}*\n')")})::BIGINT")
@@ -102,9 +103,7 @@ _scalar(
     "item_id",
 )
 _scalar("format_duration", lambda x: T.format_duration(F.length(x).cast("long")), "CASE WHEN length(text) // 3600 > 0 THEN (length(text) // 3600) || 'h' || CASE WHEN length(text) % 3600 > 0 THEN ' ' ELSE '' END ELSE '' END || CASE WHEN length(text) % 3600 // 60 > 0 THEN (length(text) % 3600 // 60) || 'm' || CASE WHEN length(text) % 60 > 0 THEN ' ' ELSE '' END ELSE '' END || CASE WHEN length(text) % 60 > 0 OR length(text) < 60 THEN (length(text) % 60) || 's' ELSE '' END")
-_scalar("json_response", lambda x: T.json_response(F.to_json(F.struct(F.struct(F.substring(x, 1, 60).alias("content")).alias("message")))), "substr(text, 1, 60)")
-
-_scalar("json_response_text", lambda x: T.json_response(F.to_json(F.struct(F.struct(x.alias("content")).alias("message")))), "text")
+_scalar("json_response", lambda x: T.json_response(F.to_json(F.struct(F.struct(x.alias("content")).alias("message")))), "text")
 
 
 @_query("chunk_id", "SELECT doc_id, sha256(source || '|' || CASE WHEN doc_id % 5 = 0 THEN 'None' ELSE doc_id::VARCHAR END || '|' || coalesce(text, '')) AS chunk_id FROM documents")
@@ -159,9 +158,9 @@ def _inpage(spark, sf_dir):
     return cleaning.in_page_repeats(book_pages(spark, sf_dir))
 
 
-@_query("keyword_watermark", f"WITH {_LINES} SELECT DISTINCT book, norm FROM lines WHERE contains(norm, 'license') OR contains(norm, 'not for sale')")
+@_query("keyword_watermark", f"WITH {_LINES} SELECT DISTINCT book, page, norm FROM lines WHERE norm <> '' AND {_STAMP}")
 def _keyword(spark, sf_dir):
-    return cleaning.keyword_lines(book_pages(spark, sf_dir), ["License", "Not for sale"])
+    return cleaning.keyword_lines(book_pages(spark, sf_dir), STAMP_WORDS, STAMP_PATTERNS)
 
 
 @_query("artifact_union", f"WITH {_FOUND} SELECT book, norm FROM found")
@@ -182,23 +181,30 @@ def _intersection(spark, sf_dir):
     return hit.select("page", "norm").distinct().groupBy("page").agg(F.count("*").alias("removed"))
 
 
-@_query("clean_pages", rf"""WITH RECURSIVE {_FOUND}, kept AS (SELECT page, line_no, regexp_replace(line, {_STRIP}) AS line FROM lines l WHERE norm <> '' AND NOT EXISTS (SELECT 1 FROM found f WHERE f.book = l.book AND f.norm = l.norm) AND (NOT {_NOISE} OR {_HEADING})),
-    n AS (SELECT page, count(*) AS total FROM lines WHERE norm <> '' GROUP BY page),
-    t AS (SELECT page, count(*) AS lft, list_reduce(list(line ORDER BY line_no), lambda s, x: CASE WHEN s = '' THEN x WHEN ends_with(s, '-') THEN s[:-2] || x ELSE s || ' ' || x END) AS txt FROM kept GROUP BY page)
-    SELECT p.page, coalesce(txt, '') AS clean_text, coalesce(total, 0) - coalesce(lft, 0) AS removed FROM pages p LEFT JOIN n USING (page) LEFT JOIN t USING (page)""")
-def _clean(spark, sf_dir):
-    return cleaning.clean_pages(book_pages(spark, sf_dir), 0.05, 0.05).select("page", "clean_text", "removed")
+_KEPT_WORDS = r"(?i)^(unit|chapter|lesson|section|topic|module|part|exercise|question|q)([^\p{L}\p{N}_]|$)"
+_CLEANED = rf"""{_FOUND}, @NUMBERED@, stamped AS (SELECT DISTINCT page, norm FROM lines WHERE norm <> '' AND {_STAMP} UNION SELECT page, printed::VARCHAR FROM numbered WHERE printed IS NOT NULL),
+    marked AS (SELECT l.book, l.page, line_no, norm, regexp_replace(line, {_STRIP}) AS line, f.norm IS NOT NULL OR s.norm IS NOT NULL AS artifact FROM lines l LEFT JOIN found f USING (book, norm) LEFT JOIN stamped s USING (page, norm)),
+    kinds AS (SELECT *, line <> '' AND (contains(line, '|') OR len(list_filter(string_split_regex(line, '{_WS}{{2,}}'), lambda x: x <> '')) >= 2) AS t, regexp_matches(line, '{_KEPT_WORDS}') AS h FROM marked),
+    beside AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY page ORDER BY line_no), false) AS n FROM kinds),
+    codes AS (SELECT page, list_reduce(list_prepend({{'o': '', 'l': 0, 't': false, 'a': false, 'h': false, 'n': false}}, list({{'o': '', 'l': 0, 't': t, 'a': artifact, 'h': h, 'n': n}} ORDER BY line_no)),
+      lambda s, x: {{'o': s.o || CASE WHEN x.t AND (s.l > 0 OR (NOT x.a AND x.n)) THEN 't' WHEN x.h AND NOT x.a THEN 'h' ELSE '-' END, 'l': CASE WHEN x.t AND s.l > 0 THEN s.l - 1 WHEN x.t AND NOT x.a AND x.n THEN 11 ELSE 0 END, 't': false, 'a': false, 'h': false, 'n': false}}).o AS code FROM beside GROUP BY page),
+    typed AS (SELECT k.*, substr(code, (line_no + 1)::BIGINT, 1) AS code FROM kinds k JOIN codes USING (page)),
+    gone AS (SELECT page, count(DISTINCT norm) AS removed FROM typed WHERE artifact AND line <> '' GROUP BY page),
+    stay AS (SELECT *, count(*) FILTER (line <> '' AND code = '-') OVER (PARTITION BY page, norm) AS again FROM typed WHERE line = '' OR code <> '-' OR (NOT artifact AND (h OR NOT {_NOISE}))),
+    blocks AS (SELECT *, count(*) FILTER (line = '') OVER (PARTITION BY page ORDER BY line_no) AS block FROM stay WHERE line = '' OR code <> '-' OR again < 3 OR h),
+    fresh AS (SELECT *, (code <> '-' OR coalesce(lag(code) OVER (PARTITION BY page, block ORDER BY line_no) <> '-', true))::INT AS fresh FROM blocks WHERE line <> ''),
+    parts AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY line_no) AS part FROM fresh),
+    ends AS (SELECT *, regexp_replace(line, '{_WS}+', ' ', 'g') AS flat, lead(line_no) OVER (PARTITION BY page, part ORDER BY line_no) IS NULL AS last FROM parts),
+    texts AS (SELECT page, block, part, string_agg(CASE WHEN code <> '-' THEN line WHEN last THEN flat WHEN ends_with(flat, '-') THEN flat[:-2] ELSE flat || ' ' END, '' ORDER BY line_no) AS text FROM ends GROUP BY page, block, part),
+    joined AS (SELECT page, block, string_agg(text, chr(10) ORDER BY part) AS text FROM texts GROUP BY page, block),
+    clean AS (SELECT page, string_agg(text, chr(10) || chr(10) ORDER BY block) AS clean_text FROM joined GROUP BY page)"""
+
 
+def _clean(spark, sf_dir):
+    return cleaning.clean_pages(book_pages(spark, sf_dir), 0.05, 0.05, STAMP_WORDS, STAMP_PATTERNS).select("page", "clean_text", "removed", "printed")
 
-@_query("page_number", f"""WITH {_LINES}, held AS (SELECT page, norm, row_number() OVER (PARTITION BY page ORDER BY line_no) AS up, row_number() OVER (PARTITION BY page ORDER BY line_no DESC) AS down FROM lines WHERE norm <> '')
-    SELECT page, min_by(length(norm), CASE WHEN up <= 3 THEN up ELSE 7 - down END) AS first_short FROM held WHERE (up <= 3 OR down <= 3) AND length(norm) <= 20 GROUP BY page""")
-def _page_number(spark, sf_dir):
-    from pyspark.sql import Window
 
-    page = Window.partitionBy("page")
-    held = cleaning.page_lines(book_pages(spark, sf_dir)).where("norm <> ''").withColumn("up", F.row_number().over(page.orderBy("line_no"))).withColumn("down", F.row_number().over(page.orderBy(F.desc("line_no"))))
-    place = F.when(F.col("up") <= 3, F.col("up")).otherwise(7 - F.col("down"))
-    return held.where("(up <= 3 or down <= 3) and length(norm) <= 20").groupBy("page").agg(F.min_by(F.length("norm").cast("long"), place).alias("first_short"))
+QUERIES["clean_pages"] = _clean
 
 
 # ---------------------------------------------------------------- structure
@@ -238,6 +244,10 @@ _NUMBERED = rf"""lines_of AS (SELECT book, page, list_filter(list_transform(stri
     numbered AS (SELECT book, page, translate(list_filter(l[:3] || l[greatest(len(l) - 2, 1):], lambda x: regexp_matches(x, '^\p{{Nd}}{{1,4}}$'))[1], '{structure.DIGITS}', '{structure.ASCII_DIGITS}')::INT AS printed FROM lines_of)"""
 
 
+ORACLE_SQL["clean_pages"] = "WITH " + _CLEANED.replace("@NUMBERED@", _NUMBERED) + " SELECT p.page, coalesce(clean_text, '') AS clean_text, coalesce(removed, 0) AS removed, printed FROM pages p LEFT JOIN clean USING (page) LEFT JOIN gone USING (page) JOIN numbered USING (page)"
+
+
+@_query("page_number", f"WITH {_PAGES}, {_NUMBERED} SELECT page, printed FROM numbered")
 @_query("printed_page_number", f"WITH {_PAGES}, {_NUMBERED} SELECT page, printed FROM numbered")
 def _printed(spark, sf_dir):
     return book_pages(spark, sf_dir).select("page", structure.find_page_number(F.col("text")).alias("printed"))
