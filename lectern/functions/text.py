@@ -126,16 +126,23 @@ def script_language(x: Column, default: str = "en") -> Column:
     return F.when(arabic > latin, "ur").when(latin > arabic, "en").otherwise(default)
 
 
-def inferred_filters(x: Column) -> dict[str, Column]:
-    """grade, section and subject that a question asks for; null where it doesn't."""
+def inferred_filters(x: Column, books: list[str] = ()) -> dict[str, Column]:
+    """grade, unit, chapter, topic, subject and book that a question asks for; null where it doesn't.
+
+    Lesson, section and module are kept as a chapter, under their own name; the first
+    subject and the first book of the lists that occur count.
+    """
     edge, low = r"([^\p{L}\p{N}_]|$)", F.lower(x)
     grade = F.nullif(F.regexp_extract(low, rf"(^|[^\p{{L}}\p{{N}}_])grade{WHITE}*([0-9]+){edge}", 2), F.lit(""))
     kind = rf"(^|[^\p{{L}}\p{{N}}_])(unit|chapter|lesson|section|module|topic){WHITE}*([0-9]+){edge}"
     label, number = F.regexp_extract(low, kind, 2), F.regexp_extract(low, kind, 3)
-    subject = F.lit(None).cast("string")
+    named = F.concat(F.initcap(label), F.lit(" "), number)
+    subject = book = F.lit(None).cast("string")
     for s in reversed(SUBJECTS):
         subject = F.when(low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){s}{edge}"), F.initcap(F.lit(s))).otherwise(subject)
-    return {"grade": grade, "section": F.when(label != "", F.concat(F.initcap(label), F.lit(" "), number)), "subject": subject}
+    for b in reversed([b for b in books if b]):
+        book = F.when(low.contains(b.lower()), F.lit(b)).otherwise(book)
+    return {"grade": grade, "unit": F.when(label == "unit", named), "chapter": F.when(label.isin("chapter", "lesson", "section", "module"), named), "topic": F.when(label == "topic", named), "subject": subject, "book": book}
 
 
 def estimate_tokens(x: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Retrieval: exact vectors, BM25, rank fusion, expansion and gating, for many queries at once."""
+"""Retrieval: exact vectors, BM25, rank fusion, expansion, gating and traces, for many queries at once."""
 
 from __future__ import annotations
 
@@ -10,47 +10,102 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 QUERY_BLOCK = 4096
+ROW_BLOCK = 1024
+#: terms asked for that a broadcast may hold
+BROADCAST_TERMS = 1_000_000
+METRICS = ("l2", "ip", "cosine")
 
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
-    """The k nearest rows of a task to each query; a task keeps k rows a query at most."""
+def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of paired rows; the smaller, the nearer."""
+    if metric == "l2":
+        return np.sqrt(((q - x) ** 2).sum(1))
+    inner = (q * x).sum(1)
+    if metric == "ip":
+        return -inner
+    size = np.sqrt((q**2).sum(1) * (x**2).sum(1))
+    return 1 - np.where(size > 0, inner / np.where(size > 0, size, 1), 0)
+
+
+def _about(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All distances by one product, to about 1e-7 of the sizes: good enough to choose whom to measure."""
+    inner = q @ x.T
+    if metric == "ip":
+        return -inner
+    qq, xx = (q**2).sum(1)[:, None], (x**2).sum(1)[None, :]
+    if metric == "l2":
+        return np.sqrt(np.maximum(0, qq + xx - 2 * inner))
+    size = np.sqrt(qq * xx)
+    return 1 - np.where(size > 0, inner / np.where(size > 0, size, 1), 0)
+
+
+def _nearest(ids: np.ndarray, queries: np.ndarray, keys: list | None, k: int, metric: str, kind: pa.DataType):
+    """The k nearest rows of a task to each query; a task keeps k rows a query at most.
+
+    Every distance that is returned comes from one formula over the two vectors.
+    """
+    wanted = None if keys is None else np.array(["" if x is None else x for x in keys])
+    free = None if keys is None else np.array([x is None for x in keys])
 
     def run(batches):
         if not len(ids):
             return
-        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        text = pa.types.is_string(kind)
+        best_q, best_d, best_i = np.zeros(0, np.int64), np.zeros(0), np.array([], "U1" if text else np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
                 x = np.asarray(part["embedding"].flatten(), dtype=np.float64).reshape(part.num_rows, -1)
-                d = np.sqrt(np.maximum(0, ((queries[:, None, :] - x[None, :, :]) ** 2).sum(2) if len(queries) * x.size <= 1 << 24 else (queries**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * queries @ x.T))
-                d = np.concatenate([best_d, np.round(d, 6)], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(np.asarray(part["vec_id"]), (len(ids), part.num_rows))], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        if best_d.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["q", "vec_id", "distance"])
+                name = np.array(part["vec_id"].to_pylist()) if text else np.asarray(part["vec_id"])
+                about = _about(metric, queries, x)
+                if wanted is not None:
+                    own = np.array(["" if v is None else v for v in part["key"].to_pylist()])
+                    about[~(free[:, None] | (wanted[:, None] == own[None, :]))] = np.inf
+                slack = 1e-5 * (1 + np.abs(about[np.isfinite(about)]).max(initial=0))
+                limit = np.partition(about, k - 1, axis=1)[:, k - 1] if about.shape[1] > k else np.full(len(ids), np.inf)
+                held = np.bincount(best_q, minlength=len(ids))
+                last = np.full(len(ids), -np.inf)
+                np.maximum.at(last, best_q, best_d)
+                limit = np.minimum(limit, np.where(held >= k, last, np.inf))
+                q, row = np.nonzero((about <= (limit + slack)[:, None]) & np.isfinite(about))
+                d = np.round(_exact(metric, queries[q], x[row]), 6)
+                q, d, i = np.concatenate([best_q, q]), np.concatenate([best_d, d]), np.concatenate([best_i, name[row]])
+                order = np.lexsort((i, d, q))
+                q, d, i = q[order], d[order], i[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                best_q, best_d, best_i = q[keep], d[keep], i[keep]
+        if len(best_q):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best_q]), pa.array(best_i.tolist() if text else best_i, kind), pa.array(best_d)], ["q", "vec_id", "distance"])
 
     return run
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, metric: str = "l2", key: str | None = None) -> DataFrame:
     """q, vec_id, distance, rank: the k nearest of vectors (vec_id, embedding) to each of queries (q, embedding).
 
-    Queries are read in blocks; each block goes to the tasks that scan the vectors, and
-    only k rows a query and task are shuffled.
+    key: a column of both; only rows with the query's key are searched, all rows if that is
+    null. Queries are read in blocks; each block goes to the tasks that scan the vectors,
+    and only k rows a query and task are shuffled. ip and cosine count as distances: the
+    negative product, and 1 less the cosine.
     """
-    found, ids, rows = None, [], []
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    found, ids, rows, keys = None, [], [], []
+    name = vectors.schema["vec_id"].dataType.simpleString()
+    kind = pa.string() if name == "string" else pa.int64()
+    held = vectors.where("embedding is not null").select("vec_id" if name == "string" else F.col("vec_id").cast("long").alias("vec_id"), "embedding", *([F.col(key).cast("string").alias("key")] if key else []))
 
     def flush() -> None:
-        nonlocal found, ids, rows
-        hits = vectors.select("vec_id", "embedding").mapInArrow(_nearest(np.array(ids, np.int64), np.array(rows, np.float64), k), "q long, vec_id long, distance double")
+        nonlocal found, ids, rows, keys
+        hits = held.mapInArrow(_nearest(np.array(ids, np.int64), np.array(rows, np.float64), keys if key else None, k, metric, kind), f"q long, vec_id {'string' if name == 'string' else 'long'}, distance double")
         found = hits if found is None else found.union(hits)
-        ids, rows = [], []
+        ids, rows, keys = [], [], []
 
-    for r in queries.select("q", "embedding").orderBy("q").toLocalIterator():
+    asked = queries.where("embedding is not null").select("q", "embedding", *([F.col(key).cast("string").alias("key")] if key else []))
+    for r in asked.orderBy("q").toLocalIterator():
         ids.append(r["q"])
         rows.append(r["embedding"])
+        keys.append(r["key"] if key else None)
         if len(ids) == QUERY_BLOCK:
             flush()
     if ids or found is None:
@@ -72,23 +127,46 @@ def term_stats(texts: DataFrame) -> DataFrame:
     return postings(texts).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_topk(texts: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """q, id, score, rank: BM25 of texts (id, text) for the distinct terms of queries (q, text)."""
-    lengths = terms(texts).groupBy("id").agg(F.count("*").alias("dl"))
-    whole = lengths.agg(F.avg("dl").alias("avgdl")).first()
-    n = texts.count()
+def index(texts: DataFrame) -> dict[str, DataFrame]:
+    """postings (id, term, tf, dl) and lengths (id, dl) of texts (id, text)."""
+    tokens = texts.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("t")).withColumn("dl", F.coalesce(F.size("t"), F.lit(0)))
+    listed = tokens.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    return {"postings": listed.select("id", "term", "tf", "dl"), "lengths": tokens.select("id", "dl")}
+
+
+def bm25_search(indexed: dict[str, DataFrame], queries: DataFrame, k: int = 20, ids: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """q, id, score, rank: BM25 over a stored index for the distinct terms of queries (q, text).
+
+    ids: the rows (id) that a filter leaves; frequencies are those of the whole index. The
+    terms asked for are counted and then broadcast, so the postings of a frequent term stay
+    where they are; beyond the bound they are dealt by term.
+    """
+    whole = indexed["lengths"].agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl")).first()
     asked = terms(queries.select(F.col("q").alias("id"), "text")).distinct().withColumnRenamed("id", "q")
-    # only the postings of terms asked for are counted
-    listed = postings(texts).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = asked.select("term").distinct()
+    small = wanted.count() <= BROADCAST_TERMS
+    sent = F.broadcast if small else lambda d: d
+    # only the postings of terms asked for are read on
+    listed = indexed["postings"].join(sent(wanted), "term", "left_semi")
     df = listed.groupBy("term").agg(F.count("*").alias("df"))
+    n = whole["n"]
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(whole["avgdl"] or 1))))
-    weighed = listed.join(df, "term").join(lengths, "id").select("id", "term", weight.alias("weight"))
-    scores = asked.join(weighed, "term").groupBy("q", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    kept = listed if ids is None else listed.join(ids.select("id").distinct(), "id", "left_semi")
+    weighed = kept.join(sent(df), "term").select("id", "term", weight.alias("weight"))
+    scores = weighed.join(sent(asked), "term").groupBy("q", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def bm25_topk(texts: DataFrame, queries: DataFrame, k: int = 20, ids: DataFrame | None = None) -> DataFrame:
+    """bm25_search over texts (id, text), whose postings are stored first."""
+    from ..sources.tables import stored
+
+    made = index(texts)
+    return bm25_search({"postings": stored(made["postings"], "postings"), "lengths": made["lengths"]}, queries, k, ids)
+
+
 def fuse(*ranked: tuple[DataFrame, float], k: int = 60) -> DataFrame:
     """q, id, score, rank: weighted reciprocal ranks of lists (q, id, rank), summed by union rather than outer join."""
     parts = [df.select("q", "id", (F.lit(float(w)) / (k + F.col("rank"))).alias("part")) for df, w in ranked]
@@ -111,3 +189,69 @@ def gate(blocks: DataFrame, min_score: float | None = None, max_blocks: int = 5,
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
     """Per query, the filtered hits, or the unfiltered ones where there are none."""
     return filtered.unionByName(unfiltered.join(filtered.select("q").distinct(), "q", "left_anti"))
+
+
+def with_fallback_both(filtered: tuple[DataFrame, DataFrame], unfiltered: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both lists per query: the filtered ones, or the unfiltered ones where both are empty; and the queries (q) that found something filtered."""
+    found = filtered[0].select("q").union(filtered[1].select("q")).distinct()
+    one, two = (f.unionByName(u.join(found, "q", "left_anti")) for f, u in zip(filtered, unfiltered, strict=True))
+    return one, two, found
+
+
+def weighted_scores(vector: DataFrame, text: DataFrame, weight: float = 0.35) -> DataFrame:
+    """q, id, score, rank of cosine (q, id, cosine) and BM25 (q, id, score): both scaled to 0..1 within the query, then weighted."""
+    span = Window.partitionBy("q")
+
+    def scaled(d: DataFrame, name: str, part: float) -> DataFrame:
+        lo, hi = F.min(name).over(span), F.max(name).over(span)
+        return d.select("q", "id", (F.lit(part) * F.coalesce((F.col(name) - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(1.0))).alias("part"))
+
+    both = scaled(vector, "cosine", 1 - weight).union(scaled(text, "score", weight))
+    out = both.groupBy("q", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")))
+
+
+def expand(hits: DataFrame, parents: DataFrame, children: DataFrame, limit: int = 50) -> DataFrame:
+    """hits (q, id, parent_id, score, rank, text) -> with parent_text and siblings (texts of the parent's other children, by page and place)."""
+    order = Window.partitionBy("parent_id").orderBy(F.coalesce("page_start", F.lit(0)), F.coalesce("seq", F.lit(0)), "chunk_id")
+    wanted = hits.select("parent_id").distinct()
+    near = children.join(wanted, "parent_id", "left_semi").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    # at most `limit` a parent
+    listed = near.groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct("place", "chunk_id", "text_clean"))).alias("all"))
+    whole = parents.groupBy("parent_id").agg(F.first("text_clean").alias("parent_text"))
+    out = hits.join(whole, "parent_id", "left").join(listed, "parent_id", "left")
+    others = F.transform(F.filter(F.coalesce("all", F.array().cast(listed.schema["all"].dataType)), lambda x: x["chunk_id"] != F.col("id")), lambda x: x["text_clean"])
+    return out.withColumn("siblings", others).drop("all")
+
+
+def diagnostics(questions: DataFrame, vector: DataFrame, text: DataFrame, fused: DataFrame, gated: DataFrame, found: DataFrame, threshold: float | None = None) -> DataFrame:
+    """One row a question (q, text, filters as a string or ''): what every stage saw."""
+    one = vector.groupBy("q").agg(F.count("*").alias("vector_hits"), F.round(F.min("distance"), 5).alias("vector_top"))
+    two = text.groupBy("q").agg(F.count("*").alias("bm25_hits"), F.round(F.max("score"), 5).alias("bm25_top"))
+    three = fused.groupBy("q").agg(F.count("*").alias("fused"), F.round(F.max("score"), 5).alias("fused_top"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "score"))), lambda x: F.round(x["score"], 5)).alias("scores"))
+    four = gated.groupBy("q").agg(F.count("*").alias("gated"))
+    out = questions.select("q", T.query_language(F.col("text")).alias("language"), "filters").join(found.withColumn("hit", F.lit(True)), "q", "left")
+    out = out.withColumn("fallback", (F.col("filters") != "") & F.col("hit").isNull()).drop("hit")
+    for part in (one, two, three, four):
+        out = out.join(part, "q", "left")
+    return out.fillna(0, ["vector_hits", "bm25_hits", "fused", "gated"]).withColumn("threshold", F.lit(threshold).cast("double"))
+
+
+def svd_vectors(texts: DataFrame, dim: int = 20, terms_kept: int = 1 << 12, grams: tuple[int, int] | None = None) -> DataFrame:
+    """id, embedding: TF-IDF projected on its first components; for use without an embedding model.
+
+    grams: character n-grams of words (with a blank at both ends) instead of words. Terms
+    are hashed to terms_kept columns, which bounds the components' matrix on the driver.
+    """
+    from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    if grams:
+        pieces = lambda w: F.flatten(F.transform(F.sequence(F.lit(grams[0]), F.lit(grams[1])), lambda n: F.when(F.length(w) + 2 >= n, F.transform(F.sequence(F.lit(1), F.length(w) + 3 - n), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, n))).otherwise(F.array().cast("array<string>"))))
+        words = F.flatten(F.transform(words, pieces))
+    counted = HashingTF(inputCol="t", outputCol="tf", numFeatures=terms_kept).transform(texts.select("id", words.alias("t")))
+    weighed = IDF(inputCol="tf", outputCol="w").fit(counted).transform(counted)
+    unit = Normalizer(inputCol="w", outputCol="u").transform(weighed)
+    made = PCA(k=dim, inputCol="u", outputCol="v").fit(unit).transform(unit)
+    return made.select("id", vector_to_array("v").alias("embedding"))

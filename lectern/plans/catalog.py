@@ -112,21 +112,29 @@ def _chunk_id(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.chunk_id(F.col("source"), page, F.col("text")).alias("chunk_id"))
 
 
+_ASKED_FOR = r"regexp_extract(lower(text), '(^|[^\p{L}\p{N}_])(unit|chapter|lesson|section|module|topic)[ \t\n\x0B\f\r]*([0-9]+)([^\p{L}\p{N}_]|$)', "
+BOOKS = ["Green Book", "The"]
+
+
 @_query("infer_filters", r"""SELECT conv_id, turn, nullif(regexp_extract(lower(text), '(^|[^\p{L}\p{N}_])grade[ \t\n\x0B\f\r]*([0-9]+)([^\p{L}\p{N}_]|$)', 2), '') AS grade,
-    CASE WHEN k <> '' THEN upper(k[1]) || k[2:] || ' ' || regexp_extract(lower(text), '(^|[^\p{L}\p{N}_])(unit|chapter|lesson|section|module|topic)[ \t\n\x0B\f\r]*([0-9]+)([^\p{L}\p{N}_]|$)', 3) END AS section,
-    CASE """ + " ".join(rf"WHEN regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_]){s}([^\p{{L}}\p{{N}}_]|$)') THEN '{s.title()}'" for s in T.SUBJECTS) + r""" END AS subject
-    FROM (SELECT *, regexp_extract(lower(text), '(^|[^\p{L}\p{N}_])(unit|chapter|lesson|section|module|topic)[ \t\n\x0B\f\r]*([0-9]+)([^\p{L}\p{N}_]|$)', 2) AS k FROM conversations)""")
+    CASE WHEN k = 'unit' THEN 'Unit ' || n END AS unit, CASE WHEN k IN ('chapter', 'lesson', 'section', 'module') THEN upper(k[1]) || k[2:] || ' ' || n END AS chapter, CASE WHEN k = 'topic' THEN 'Topic ' || n END AS topic,
+    CASE """ + " ".join(rf"WHEN regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_]){s}([^\p{{L}}\p{{N}}_]|$)') THEN '{s.title()}'" for s in T.SUBJECTS) + " END AS subject, CASE " + " ".join(f"WHEN contains(lower(text), '{x.lower()}') THEN '{x}'" for x in BOOKS) + f""" END AS book
+    FROM (SELECT *, {_ASKED_FOR} 2) AS k, {_ASKED_FOR} 3) AS n FROM conversations)""")
 def _filters(spark, sf_dir):
-    found = T.inferred_filters(F.col("text"))
+    found = T.inferred_filters(F.col("text"), BOOKS)
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in found.items()])
 
 
-@_query("compare_quality", rf"""WITH s AS (SELECT doc_id, least(1.0, n_chars / 3000.0)::DOUBLE AS e, ((doc_id * 37) % 100 / 100.0)::DOUBLE AS o, ((doc_id * 13) % 90)::DOUBLE AS c FROM documents),
-    t AS (SELECT *, round(least(1.0::DOUBLE, o * (0.6::DOUBLE + 0.4::DOUBLE * least(1.0::DOUBLE, c / 90.0::DOUBLE))), 3) AS z FROM s)
+_QUALITY = ORACLE_SQL["quality_score"].removeprefix("SELECT doc_id, ").split(" AS value FROM")[0]
+
+
+@_query("compare_quality", rf"""WITH e AS (SELECT doc_id, {_QUALITY} AS e, (length(text) % 97)::DOUBLE AS c FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    o AS (SELECT doc_id, {_QUALITY} AS o FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[aeiou]', '|', 'g') AS text FROM documents)),
+    t AS (SELECT *, round(least(1.0::DOUBLE, o * (0.6::DOUBLE + 0.4::DOUBLE * least(1.0::DOUBLE, c / 90.0::DOUBLE))), 3) AS z FROM e JOIN o USING (doc_id))
     SELECT doc_id, CASE WHEN e < 0.05 AND z < 0.05 THEN 'none' WHEN e >= z THEN CASE WHEN z >= 0.05 THEN 'merged' ELSE 'embedded' END ELSE 'ocr' END AS method FROM t""")
 def _compare(spark, sf_dir):
-    d = F.col("doc_id")
-    method = T.compare_quality(F.least(F.lit(1.0), F.col("n_chars") / 3000.0), (d * 37) % 100 / 100.0, ((d * 13) % 90).cast("double"))
+    scanned = F.regexp_replace("text", "[aeiou]", "|")
+    method = T.compare_quality(T.quality_score(F.col("text")), T.quality_score(scanned), (F.length("text") % 97).cast("double"))
     return _docs(spark, sf_dir).select("doc_id", method.alias("method"))
 
 
@@ -260,11 +268,11 @@ def _page_map_printed(spark, sf_dir):
     return structure.page_map(book_pages(spark, sf_dir).withColumn("anchor", structure.find_page_number(F.col("text"))))
 
 
-@_query("book_match", """WITH stems AS (SELECT lower(n_name) || '_file' AS stem FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT substr(n_name, 1, 3) FROM nation)
+@_query("book_match", """WITH stems AS (SELECT lower(n_name) || '_file' AS stem FROM nation UNION SELECT substr(n_name, 1, 3) FROM nation)
     SELECT stem, min_by(n_name, n_nationkey) AS book FROM stems JOIN nation ON contains(lower(stem), lower(n_name)) OR contains(lower(n_name), lower(stem)) GROUP BY stem""")
 def _match(spark, sf_dir):
     n = _table(spark, sf_dir, "nation")
-    stems = n.where("n_nationkey % 2 = 0").select(F.concat(F.lower("n_name"), F.lit("_file")).alias("stem")).union(n.select(F.substring("n_name", 1, 3).alias("stem"))).distinct()
+    stems = n.select(F.concat(F.lower("n_name"), F.lit("_file")).alias("stem")).union(n.select(F.substring("n_name", 1, 3).alias("stem"))).distinct()
     return structure.match_books(stems, n.select(F.col("n_name").alias("book"), F.col("n_nationkey").alias("ordinal")))
 
 
@@ -410,9 +418,34 @@ def _weighted(spark, sf_dir):
     return retrieval.fuse((_vec_list(spark, sf_dir).where("rank <= 5"), 0.6), (_bm25(spark, sf_dir).where("rank <= 5"), 0.4))
 
 
-@_query("filter_fallback", f"""WITH a AS ({_topk_sql("b.label = 2 AND a.vec_id % 40 = 0")}), b AS ({_topk_sql()}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE q NOT IN (SELECT q FROM a)""")
+_FALLBACK = f"""{_BM25}, {_VEC}, keys AS (SELECT vec_id AS q, vec_id // 20 % 13 AS key FROM embeddings WHERE vec_id % 20 = 0),
+    vf AS ({_topk_sql("b.label = a.vec_id // 20 % 13")}), tf AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM scored JOIN documents ON doc_id = id WHERE doc_id % 13 = q // 20 % 13 AND doc_id % 2 = 0 QUALIFY rank <= 20),
+    found AS (SELECT q FROM vf UNION SELECT q FROM tf)"""
+
+
+@_query("filter_fallback", f"""WITH {_FALLBACK} SELECT 'vector' AS list, q, vec_id AS id, distance AS score, rank FROM vf UNION ALL SELECT 'text', q, id, score, rank FROM tf
+    UNION ALL SELECT 'vector', q, vec_id, distance, rank FROM vec WHERE q NOT IN (SELECT q FROM found) UNION ALL SELECT 'text', q, id, score, rank FROM bm25 WHERE q NOT IN (SELECT q FROM found)""")
 def _fallback(spark, sf_dir):
-    return retrieval.with_fallback(_vector_hits(spark, sf_dir, "label = 2").where("q % 40 = 0"), _vector_hits(spark, sf_dir))
+    v = _table(spark, sf_dir, "embeddings")
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding", F.expr("vec_id div 20 % 13").alias("label"))
+    questions = _questions(spark, sf_dir)
+    # the text list's filter: per question, so one search over the rows that any question may have
+    ids = _texts(spark, sf_dir).where("id % 2 = 0")
+    hits = retrieval.bm25_topk(_texts(spark, sf_dir), questions, 1 << 30, ids.select("id")).where("id % 13 = q div 20 % 13")
+    from pyspark.sql import Window
+
+    text = hits.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where("rank <= 20")
+    filtered = (retrieval.vector_topk(v, queries, key="label"), text)
+    one, two, _ = retrieval.with_fallback_both(filtered, (retrieval.vector_topk(v, queries.drop("label")), retrieval.bm25_topk(_texts(spark, sf_dir), questions)))
+    return one.select(F.lit("vector").alias("list"), "q", F.col("vec_id").alias("id"), F.col("distance").alias("score"), "rank").union(two.select(F.lit("text"), "q", "id", "score", "rank"))
+
+
+@_query("bm25_topk_filtered", f"WITH {_BM25} SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM scored JOIN documents ON doc_id = id WHERE lang IN ('en', 'de') QUALIFY rank <= 20")
+def _bm25_filtered(spark, sf_dir):
+    from ..operators.store import predicate
+
+    ids = _table(spark, sf_dir, "documents").where(predicate({"lang": ["en", "de"]})).select(F.col("doc_id").alias("id"))
+    return retrieval.bm25_topk(_texts(spark, sf_dir), _questions(spark, sf_dir), ids=ids)
 
 
 @_query("expand_parent", f"WITH {_FUSED} SELECT q, f.id, rank, source, n_chars FROM fused f LEFT JOIN documents d ON d.doc_id = f.id WHERE rank <= 5")
@@ -440,36 +473,47 @@ def _gate(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- evaluation and checks
-_RESULTS = "r AS (SELECT lang AS category, CASE WHEN quality = 1 THEN 'answer' ELSE 'decline' END AS expected, round(least(1.0, n_chars / 5000.0)::DOUBLE, 2) AS top_score FROM documents JOIN labels USING (doc_id)), e AS (SELECT *, top_score < 0.2 AS declined, (top_score < 0.2) = (expected = 'decline') AS correct FROM r)"
+_CATEGORY = "list_value(" + ", ".join(f"'{c}'" for c in evaluation.CATEGORIES) + ")[doc_id % 6 + 1]"
+_RESULTS = f"""r AS (SELECT doc_id, {_CATEGORY} AS category, CASE WHEN doc_id % 6 < 4 THEN 'answer' ELSE 'decline' END AS expected, round(least(1.0, n_chars / 5000.0)::DOUBLE, 2) AS top_score, coalesce(text, '') AS text FROM documents),
+    e AS (SELECT *, top_score < 0.2 AS declined, top_score >= 0.2 AND doc_id % 7 <> 0 AS grounded, (top_score < 0.2) = (expected = 'decline') AS correct, contains(lower(text), 'license') AS watermark_leak FROM r)"""
 
 
-def eval_results(spark, sf_dir) -> DataFrame:
-    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
-    r = d.select(F.col("lang").alias("category"), F.when(F.col("quality") == 1, "answer").otherwise("decline").alias("expected"), F.round(F.least(F.lit(1.0), F.col("n_chars") / 5000.0), 2).alias("top_score"))
+def eval_results(spark, sf_dir):
+    kinds = F.array(*map(F.lit, evaluation.CATEGORIES))
+    d = _docs(spark, sf_dir)
+    r = d.select("doc_id", F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("category"), F.when(F.col("doc_id") % 6 < 4, "answer").otherwise("decline").alias("expected"), F.round(F.least(F.lit(1.0), F.col("n_chars") / 5000.0), 2).alias("top_score"), "text")
     declined = F.col("top_score") < 0.2
-    return r.withColumn("declined", declined).withColumn("correct", declined == (F.col("expected") == "decline"))
+    return r.withColumn("declined", declined).withColumn("grounded", ~declined & (F.col("doc_id") % 7 != 0)).withColumn("correct", declined == (F.col("expected") == "decline")).withColumn("watermark_leak", cleaning.is_stamp(F.col("text"), ["License"]))
 
 
 _rate = lambda good, of: f"round(count(*) FILTER ({good} AND {of}) / nullif(count(*) FILTER ({of}), 0)::DOUBLE, 4)"
+_ANSWERED, _OTHER = (f"category IN ({', '.join(repr(c) for c in x)})" for x in (evaluation.ANSWERED, evaluation.CATEGORIES[4:]))
 
 
-@_query("eval_metrics", f"WITH {_RESULTS} SELECT count(*) AS total, {_rate('NOT declined', 'expected = $$answer$$')} AS hit_rate, {_rate('declined', 'expected <> $$answer$$')} AS decline_accuracy, {_rate('declined', 'expected = $$answer$$')} AS false_decline_rate, {_rate('correct', 'true')} AS overall_accuracy FROM e")
+@_query("eval_metrics", f"WITH {_RESULTS} SELECT count(*) AS total, {_rate('NOT declined', _ANSWERED)} AS hit_rate, {_rate('grounded', _ANSWERED + ' AND NOT declined')} AS groundedness, {_rate('correct', _OTHER)} AS decline_accuracy, {_rate('declined', _ANSWERED)} AS false_decline_rate, {_rate('correct', 'true')} AS overall_accuracy, {_rate('watermark_leak', 'true')} AS watermark_leak_rate FROM e")
 def _metrics(spark, sf_dir):
     return evaluation.metrics(eval_results(spark, sf_dir))
 
 
-@_query("eval_per_category", f"WITH {_RESULTS} SELECT category, count(*) AS n, count(*) FILTER (correct) AS correct FROM e GROUP BY category")
+@_query("eval_per_category", f"WITH {_RESULTS} SELECT c.category, count(e.doc_id) AS n, round(count(*) FILTER (correct) / nullif(count(e.doc_id), 0)::DOUBLE, 4) AS correct FROM (SELECT unnest([{', '.join(repr(c) for c in evaluation.CATEGORIES)}]) AS category) c LEFT JOIN e USING (category) GROUP BY c.category")
 def _categories(spark, sf_dir):
     return evaluation.by_category(eval_results(spark, sf_dir))
 
 
-@_query("calibrate_threshold", f"""WITH {_RESULTS}, t AS (SELECT DISTINCT top_score AS t FROM e UNION SELECT 0.0::DOUBLE UNION SELECT max(top_score) + 1e-6::DOUBLE FROM e),
-    s AS (SELECT t, count(*) FILTER ((top_score >= t) = (expected = 'answer')) AS good, count(*) FILTER (top_score < t AND expected = 'answer') AS fd, count(*) AS n FROM t, e GROUP BY t)
-    SELECT round(t, 6) AS threshold, round(good / n::DOUBLE, 4) AS accuracy, fd AS false_declines FROM s ORDER BY good DESC, fd, t DESC LIMIT 1""")
+_SWEEP = f"""{_RESULTS}, t AS (SELECT DISTINCT top_score AS t FROM e UNION SELECT 0.0::DOUBLE UNION SELECT max(top_score) + 1e-6::DOUBLE FROM e),
+    s AS (SELECT t, count(*) FILTER ((top_score >= t) = (expected = 'answer')) AS good, count(*) FILTER (top_score < t AND expected = 'answer') AS fd, count(*) FILTER (top_score < t AND expected <> 'answer') AS td, count(*) FILTER (expected = 'answer') AS answers, count(*) FILTER (expected <> 'answer') AS declines, count(*) AS n FROM t, e GROUP BY t)"""
+
+
+@_query("calibrate_threshold", f"""WITH {_SWEEP} SELECT round(t, 6) AS threshold, round(good / n::DOUBLE, 4) AS accuracy, fd AS false_declines, round(fd / nullif(answers, 0)::DOUBLE, 4) AS false_decline_rate, round(td / nullif(declines, 0)::DOUBLE, 4) AS decline_accuracy FROM s ORDER BY good DESC, fd, t DESC LIMIT 1""")
 def _calibrate(spark, sf_dir):
     return evaluation.calibrate(eval_results(spark, sf_dir))
 
 
+@_query("calibration_sweep", f"WITH {_SWEEP} SELECT round(t, 6) AS t, good AS right, fd AS false_declines, td AS true_declines, answers, declines FROM s")
+def _swept(spark, sf_dir):
+    return evaluation.sweep(eval_results(spark, sf_dir)).withColumn("t", F.round("t", 6))
+
+
 @_query("vector_norm_check", "SELECT label, count(*) AS n, count(*) FILTER (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) < 0.5) AS weak, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS mean_norm FROM embeddings GROUP BY label")
 def _norms(spark, sf_dir):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -488,11 +532,11 @@ def _histogram(spark, sf_dir):
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("text") == "").alias("empty_pages"), F.round(F.avg("n_chars"), 3).alias("mean_chars"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"))
 
 
-@_query("conf_range_join", f"""WITH {_PAGES}, spans AS (SELECT book, page AS a, page + 60 AS z FROM pages WHERE page % 7 = 0), c AS (SELECT book, page, length(text) % 97 AS conf FROM pages)
+@_query("conf_range_join", f"""WITH {_PAGES}, spans AS (SELECT book, page AS a, page + 60 AS z FROM pages), c AS (SELECT book, page, length(text) % 97 AS conf FROM pages)
     SELECT s.book, a, round(coalesce(sum(conf), 0) / (z - a + 1)::DOUBLE, 3) AS mean_conf FROM spans s LEFT JOIN c ON c.book = s.book AND c.page BETWEEN a AND z GROUP BY s.book, a, z""")
 def _conf(spark, sf_dir):
     pages = book_pages(spark, sf_dir)
-    spans = pages.where("page % 7 = 0").select("book", F.col("page").alias("a"), (F.col("page") + 60).alias("z"))
+    spans = pages.select("book", F.col("page").alias("a"), (F.col("page") + 60).alias("z"))
     each = spans.select("book", "a", "z", F.explode(F.sequence("a", "z")).alias("page"))
     conf = pages.select("book", "page", (F.length("text") % 97).alias("conf"))
     return each.join(conf, ["book", "page"], "left").groupBy("book", "a", "z").agg(F.round(F.coalesce(F.sum("conf"), F.lit(0)) / (F.col("z") - F.col("a") + 1), 3).alias("mean_conf")).select("book", "a", "mean_conf")
