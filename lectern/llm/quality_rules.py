@@ -94,7 +94,11 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
     """bucket, ratio: log of target over raw probability, in millionths."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("target"))
     marked = mark_ids(text_table(docs), good.where("target = 1"))
-    grams = marked.select(word_array().alias("words"), "target").select("target", F.explode(buckets_of(buckets)).alias("bucket"))
+    w = F.col("words")
+    pairs = F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b"))
+    rows = marked.select(word_array().alias("words"), "target").select("target", F.explode(pairs).alias("p"))
+    place = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
+    grams = rows.select("target", F.explode(F.array(place("p.a"), F.when(F.col("p.b").isNotNull(), place("p.a", "p.b")))).alias("bucket")).where("bucket is not null")
     counts = store(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target")), "counts")
     sums = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()
     raw, target = sums["all_raw"] or 0, sums["all_target"] or 0
