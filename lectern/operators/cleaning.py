@@ -188,3 +188,16 @@ def clean_pages(pages: DataFrame, edge: float = 0.7, anywhere: float = 0.5, keyw
     clean = blocks.groupBy("book", "page").agg(F.array_join(listed("block"), "\n\n").alias("clean_text"))
     out = pages.select("book", "page", find_page_number(F.col("text")).alias("printed")).join(clean, ["book", "page"], "left").join(removed, ["book", "page"], "left")
     return out.select("book", "page", F.coalesce("clean_text", F.lit("")).alias("clean_text"), F.coalesce("removed", F.lit(0)).alias("removed"), "printed")
+
+
+def corrections(words: DataFrame, known: DataFrame) -> DataFrame:
+    """word, fixed: for each unknown word the first known one within one edit.
+
+    Two words within one edit share the word itself or one of its forms with a letter
+    left out, so they meet in an equi-join on these forms; no pair is made beyond it.
+    """
+    forms = lambda x: F.array_distinct(F.concat(F.array(x), F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))))
+    left = words.join(known.select(F.col("known").alias("word")), "word", "left_anti").select("word", F.explode(forms(F.col("word"))).alias("form"))
+    right = known.select("known", F.explode(forms(F.col("known"))).alias("form"))
+    near = left.join(right, "form").where((F.levenshtein("word", "known", 1) >= 0) & (F.col("word") != F.col("known")))
+    return near.groupBy("word").agg(F.min("known").alias("fixed"))

@@ -173,7 +173,8 @@ def fuse(*ranked: tuple[DataFrame, float], k: int = 60) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    fused = every.groupBy("q", "id").agg(F.round(F.sum("part"), 9).alias("score"))
+    # dealt explicitly: lists that are partitioned alike by q would otherwise be zipped partition by partition
+    fused = every.repartition("q", "id").groupBy("q", "id").agg(F.round(F.sum("part"), 9).alias("score"))
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")))
 
 
