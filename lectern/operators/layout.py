@@ -46,8 +46,9 @@ def region_texts(regions: DataFrame, least: int = 1) -> DataFrame:
 
 def page_confidence(pages: DataFrame, regions: DataFrame) -> DataFrame:
     """page, confidence: the mean over a page's regions, 0 without any."""
-    mean = regions.groupBy("page").agg(F.avg("confidence").alias("confidence"))
-    return pages.select("page").distinct().join(mean, "page", "left").select("page", F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence"))
+    # in thousandths, so that the order of sums doesn't matter
+    mean = regions.groupBy("page").agg((F.round(F.sum(F.round(F.col("confidence") * 1000).cast("long")) / F.count("*")) / 1000).alias("confidence"))
+    return pages.select("page").distinct().join(mean, "page", "left").select("page", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def banded_lines(words: DataFrame, heights: DataFrame, band: float = 0.08, least_confidence: float = 20) -> DataFrame:
