@@ -3,8 +3,14 @@
 Every stage works on all that the stage before it kept, and returns the columns of
 documents; the last returns the packed pieces. A document is dropped if it is scored
 toxic, if line dedup takes all its lines, if it is a near copy of a document with a
-smaller doc_id, or if it holds a benchmark item. Where a doc_id is repeated, a decision
-about it holds for all its rows, and line dedup's text is that of each row.
+smaller doc_id, or if it holds a benchmark item. Near copies are those of five-word
+shingles with a similarity of 0.8 or more, as stages take them unless a contract says
+otherwise.
+
+Defined cases: null texts are empty and stay (line dedup takes nothing from them); where a
+doc_id is repeated, a decision about it holds for all its rows, and line dedup's text is
+that of each row; a row with a null doc_id is named by no decision, so it is not dropped
+but by line dedup; empty tables pass through; further columns of documents are carried on.
 """
 
 from __future__ import annotations
@@ -22,13 +28,14 @@ from lectern.llm.packing import best_fit_packing
 from lectern.llm.toxicity import toxicity
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less the rows of the rejected ids; what the ids are dealt or sent for is left to Spark, by their size."""
+    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scores = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, scores.groupBy("doc_id").agg(F.max("predicted").alias("toxic")).where("toxic = 0"))
+    return _without(docs, scores.where("predicted = 1"))
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +43,12 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dedup(docs).where("kept"))
+    return _without(docs, near_dedup(docs).where("not kept"))
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.groupBy("doc_id").agg(F.max("contaminated").alias("bad")).where("not bad"))
+    return _without(docs, found.where("contaminated"))
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
