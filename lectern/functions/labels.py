@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import text as T
 
@@ -62,7 +63,7 @@ def embed_text(unit: Column, chapter: Column, topic: Column, text: Column) -> Co
     return F.when(chain == "", text).otherwise(F.concat(chain, F.lit(" — "), text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(x: pd.Series) -> pd.Series:
     # no built-in function decomposes characters
     return x.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s).lower() if unicodedata.category(c) != "Mn"), na_action="ignore")

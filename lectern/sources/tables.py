@@ -90,7 +90,7 @@ def write_page_records(pages: DataFrame, path: str) -> None:
 
 
 def read_page_records(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select("kind", "book", F.regexp_extract("file", r"(\d+)$", 1).cast("int").alias("page"), F.regexp_replace("value", r"\n$", "").alias("text"))
 
 
@@ -119,7 +119,7 @@ def page_dump(pages: DataFrame, book: str, first: int, last: int) -> DataFrame:
 # ---------------------------------------------------------------- evaluation sets, corpora, settings
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation questions from JSON lines, blank ones skipped; a row without id or question, or of unknown kind, is an error with its line's number."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = files.select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(T.strip(F.col("line")) != "")
     rows = lines.select((F.col("at") + 1).cast("string").alias("at"), F.from_json("line", EVAL_SCHEMA).alias("x")).select("at", "x.*")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
