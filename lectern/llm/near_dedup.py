@@ -303,5 +303,5 @@ def _between_components(found: DataFrame, opened: DataFrame, lists: DataFrame, s
     near = store(near.distinct().join(opened.select("rep", "size"), "rep"), "suspects")
     of = near.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     buckets = max(1, of["n"] // 2_000, (of["size"] or 0) // (M_BYTES + U_BYTES))
-    near = near.drop("size").join(wanted, "rep").withColumn("bucket", F.pmod("block", F.lit(buckets)))
+    near = near.drop("size").join(wanted, "rep").withColumn("bucket", F.pmod("block", F.lit(buckets))).repartition(parts_for(near.sparkSession, of["size"]), "bucket")
     return store(near.groupBy("bucket").applyInArrow(_block_links(shingle, similarity), "a long, b long"), "block-links")
