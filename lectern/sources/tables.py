@@ -61,8 +61,7 @@ def only_pdf(spark: SparkSession, path: str) -> str:
 
 
 # ---------------------------------------------------------------- page texts
-def read_page_texts(spark: SparkSession, *folders: str) -> DataFrame:
-    """book (folder), page (from the file's name), text; files without white space removed are skipped."""
+def _page_files(spark: SparkSession, *folders: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(list(folders), wholetext=True)
     name = F.col("_metadata.file_path")
     page = F.regexp_extract(name, r"page_(\d+)\.txt$", 1)
@@ -70,11 +69,16 @@ def read_page_texts(spark: SparkSession, *folders: str) -> DataFrame:
     return rows.where("text <> ''")
 
 
+def read_page_texts(spark: SparkSession, *folders: str) -> DataFrame:
+    """book (folder), page (from the file's name), text (trimmed); files without any are skipped."""
+    return _page_files(spark, *folders).drop("source_file")
+
+
 def read_page_chunks(spark: SparkSession, *folders: str, least: int = 40, most: int = 90, overlap: int = 1) -> DataFrame:
     """source_file, page, chunk_index, lang, text: the topic chunks of every page text, in order of file."""
     from ..operators.chunking import sentence_windows
 
-    parts = read_page_texts(spark, *folders).select("book", "page", "source_file", F.posexplode(T.paragraphs(F.col("text"))).alias("part", "p"))
+    parts = _page_files(spark, *folders).select("book", "page", "source_file", F.posexplode(T.paragraphs(F.col("text"))).alias("part", "p"))
     cut = parts.withColumn("s", T.sentences_strict(F.col("p")))
     words = F.transform("s", lambda x: F.size(F.filter(F.split(x, rf"{T.WHITE}+"), lambda y: y != "")))
     spans = sentence_windows(words, least, most, overlap, greedy=False)
