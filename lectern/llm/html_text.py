@@ -6,7 +6,7 @@ without recursion: hidden elements (script, style, head, hidden attribute, displ
 visibility:hidden, ...) give nothing; blocks begin on lines of their own, with a blank
 line around paragraphs, headings, lists, quotes and tables; list items get their bullet
 or number and indent; preformatted text keeps its white space; table cells are padded to
-aligned columns.
+aligned columns, but none for a cell of over WIDEST characters, which bounds the padding.
 
 Defined cases: null and empty HTML give ''; text without tags is returned with collapsed
 white space; unclosed tags and comments end with the page; each row is rendered for
@@ -47,6 +47,8 @@ IMPLIED = {
     "tfoot": (frozenset("thead tbody tfoot caption colgroup".split()), frozenset(["table"])),
     "body": (frozenset(["head"]), frozenset(["body"])),
 }
+#: characters of the widest cell that a column is aligned to
+WIDEST = 80
 P_SCOPE = frozenset("table td th caption button object".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -92,19 +94,41 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class _Open:
+    """The open elements, and where the last of each name and of all blocks stand, so that no search walks them."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, [0]).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these; 0 without any."""
+        return max((self.places[t][-1] for t in tags if t in self.places), default=0)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, tags, scope) -> None:
+        at = self.last(tags)
+        if at and at >= self.last(scope):
+            self.cut(at)
+
+
 def build_tree(source: str) -> Node:
     root = Node("#root")
-    stack = [root]
+    open_ = _Open(root)
+    stack, close = open_.stack, open_.close
     at, end = 0, len(source)
 
-    def close(tags: frozenset, scope: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in scope:
-                return
-
     while at < end:
         m = _TOKEN.search(source, at)
         if m is None:
@@ -119,15 +143,12 @@ def build_tree(source: str) -> Node:
         tag = name.lower()
         if slash:
             # td and the like don't end what stands outside their table
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag == "table" or (tag in BLOCK) is False and stack[k].tag in BLOCK:
-                    break
-            else:
-                if tag == "p":
-                    stack[-1].children.append(Node("p"))
+            k = open_.last([tag])
+            bar = max(open_.last(["table"]), 0 if tag in BLOCK else open_.blocks[-1])
+            if k and k >= bar:
+                open_.cut(k)
+            elif not bar and tag == "p":
+                stack[-1].children.append(Node("p"))
             continue
         if tag in CLOSES_P:
             close(frozenset(["p"]), P_SCOPE)
@@ -140,7 +161,7 @@ def build_tree(source: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            open_.push(row)
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -148,7 +169,7 @@ def build_tree(source: str) -> Node:
             node.children.append(source[at : stop.start()])
             at = stop.end()
         elif tag not in VOID and not attrs.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
-            stack.append(node)
+            open_.push(node)
     return root
 
 
@@ -192,12 +213,14 @@ class _Flow:
 
 
 def _aligned(rows: list[list[str]]) -> list[str]:
+    """Cells padded to their column's width; a cell over WIDEST counts for no column and isn't padded, nor cut."""
     width: list[int] = []
     for r in rows:
         for i, c in enumerate(r):
             if i == len(width):
                 width.append(0)
-            width[i] = max(width[i], len(c))
+            if len(c) <= WIDEST:
+                width[i] = max(width[i], len(c))
     return ["  ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip() for r in rows]
 
 
