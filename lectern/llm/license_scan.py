@@ -8,7 +8,7 @@ as a notice. Nothing short of an entire known text matches: a text is known with
 without its title, and a long one with and without its appendix too.
 
 Only DataFrame functions run. The table of known digests has one row a known text (a
-fixed list or the caller's), which bounds its broadcast.
+fixed list or the caller's); it is counted, and broadcast up to KNOWN_TEXTS rows.
 
 Defined cases: null text is empty; a text that is empty once canonical matches nothing;
 each row is looked up for itself, repeated doc_ids too; of several known texts with one
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import text_table
 from .license_digests import DIGESTS
 
+KNOWN_TEXTS = 100_000
+
 _DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
 _BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
@@ -115,8 +117,8 @@ def license_scan(docs: DataFrame, licenses: dict[str, str] | None = None, notice
     rows = rows.select("row", "doc_id", F.posexplode(F.concat(F.array("all"), "lines")).alias("k", "part"))
     rows = rows.select("row", "doc_id", (F.col("k") == 0).alias("whole"), F.trim("part").alias("part"))
     rows = rows.select("row", "doc_id", "whole", F.when(F.col("part") != "", F.sha2("part", 256)).alias("digest"))
-    # one row of some hundred bytes for each known text
-    found = rows.join(F.broadcast(known), ["digest", "whole"], "left")
+    # one row of some hundred bytes for each known text; a longer list is joined as Spark sees fit
+    found = rows.join(F.broadcast(known) if known.count() <= KNOWN_TEXTS else known, ["digest", "whole"], "left")
     whole = F.col("whole")
     return (
         found.groupBy("row", "doc_id")
