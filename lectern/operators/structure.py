@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+MOST_BOOKS = 100_000
 #: line ends as Python's splitlines() has them, and white space as its strip() has it
 LINE_ENDS = r"[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 BLANK = r"[\t-\r\x1C-\x20\x{85}\p{Z}]"
@@ -51,8 +52,11 @@ def page_map(pages: DataFrame) -> DataFrame:
 def match_books(stems: DataFrame, books: DataFrame) -> DataFrame:
     """stem -> the first book (by ordinal) whose name equals, holds or is held by it, in any case.
 
-    books is the curriculum, a small declared list; stems is one row a file.
+    books is the curriculum, a declared list of at most MOST_BOOKS, which is sent to all
+    tasks; more are an error, as every stem is held against every book.
     """
+    if books.count() > MOST_BOOKS:
+        raise ValueError(f"a curriculum has at most {MOST_BOOKS} books")
     a, b = F.lower("stem"), F.lower("book")
-    pairs = stems.join(books, a.contains(b) | b.contains(a))
+    pairs = stems.join(F.broadcast(books), a.contains(b) | b.contains(a))
     return pairs.groupBy("stem").agg(F.min_by("book", "ordinal").alias("book"))
