@@ -80,7 +80,7 @@ def assemble(parsed: DataFrame, page_map: DataFrame, confidence: DataFrame, book
     child = child.join(mean, ["book", "section", "seq"])
     group = ["book", "section", "parent"]
     listed = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("seq", name))), lambda x: x[name])
-    parent = child.groupBy(*group).agg(F.array_join(listed("text"), "\n").alias("text"), F.min("pdf_start").alias("pdf_start"), F.max("pdf_end").alias("pdf_end"), F.round(F.avg("ocr_confidence"), 3).alias("ocr_confidence"), *[F.first(c).alias(c) for c in context])
+    parent = child.groupBy(*group).agg(F.array_join(listed("text"), "\n").alias("text"), F.min("pdf_start").alias("pdf_start"), F.max("pdf_end").alias("pdf_end"), (F.round(F.sum(F.round(F.col("ocr_confidence") * 1000).cast("long")) / F.count("*")) / 1000).alias("ocr_confidence"), *[F.first(c).alias(c) for c in context])
     parent = parent.withColumn("parent_index", F.row_number().over(Window.partitionBy("book").orderBy("section", "parent")) - 1)
     named = L.parent_id([(x, F.col(x), F.col(f"{x}_no")) for x in LEVELS], F.col("parent_index"))
     parent = parent.withColumn("parent_id", named)

@@ -81,7 +81,7 @@ _CHUNKS = rf"""WITH RECURSIVE {_PARSED}, body AS (SELECT *, book || '#' || secti
       JOIN spans p ON p.k = c.k AND p.lo <= w0 AND w0 < p.hi JOIN spans q ON q.k = c.k AND q.lo <= w0 + c.words - 1 AND w0 + c.words - 1 < q.hi),
     conf AS (SELECT book, page, (length(text) % 97)::DOUBLE AS confidence FROM pages),
     child2 AS (SELECT c.*, round((SELECT coalesce(sum(confidence), 0) FROM conf f WHERE f.book = c.book AND f.page BETWEEN pdf_start AND pdf_end) / (pdf_end - pdf_start + 1), 3) AS ocr_confidence FROM child c),
-    parent1 AS (SELECT k, parent, any_value(book) AS book, any_value(section) AS section, string_agg(text, chr(10) ORDER BY seq) AS text, min(pdf_start) AS pdf_start, max(pdf_end) AS pdf_end, round(avg(ocr_confidence), 3) AS ocr_confidence,
+    parent1 AS (SELECT k, parent, any_value(book) AS book, any_value(section) AS section, string_agg(text, chr(10) ORDER BY seq) AS text, min(pdf_start) AS pdf_start, max(pdf_end) AS pdf_end, round(sum(round(ocr_confidence * 1000)::BIGINT) / count(*)) / 1000 AS ocr_confidence,
       {", ".join(f"any_value({x}) AS {x}" for x in ("section_level", "section_title", *[y for z in assembly.LEVELS for y in (z, f"{z}_no")]))} FROM child2 GROUP BY k, parent),
     parent2 AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY section, parent) - 1 AS number FROM parent1),
     parent3 AS (SELECT *, coalesce(nullif(concat_ws('_', {", ".join(_ID_PART(x) for x in assembly.LEVELS)}), ''), 'front') || '_parent_' || lpad(number::VARCHAR, greatest(3, length(number::VARCHAR))::INT, '0') AS parent_id FROM parent2),
