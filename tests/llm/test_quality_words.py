@@ -1,9 +1,12 @@
 """The word model of operator 9 against brute force over dictionaries."""
 
 import collections
+import contextlib
 import math
+import os
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -107,3 +110,39 @@ def test_empty(spark):
     assert {(r.doc_id, r.perplexity, r.kept) for r in free} == {(1, 1.0, True), (None, None, False), (2, None, False)}
     # the other half is empty
     assert [r.kept for r in quality_words.quality_words(docs, labels).collect() if r.doc_id == 1] == [True]
+
+
+def test_disk_of_one_pass(spark):
+    """Shuffle files and stored tables at any time stay well below what all n-grams of all texts take."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 50_000}" for _ in range(1000)), "en") for i in range(1000)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    docs = spark.createDataFrame(texts, SCHEMA).repartition(4).cache()
+    docs.count()
+    folders = [quality_words.store.__globals__["shared_dir"](spark).removeprefix("file://"), *spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def used():
+        total = 0
+        for folder in folders:
+            for path, _, names in os.walk(folder):
+                for name in names:
+                    with contextlib.suppress(OSError):
+                        total += os.path.getsize(f"{path}/{name}")
+        return total
+
+    before, most, done = used(), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            most[0] = max(most[0], used() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert quality_words.quality_words(docs, labels).count() == len(texts)
+    finally:
+        done.set()
+        watcher.join()
+        docs.unpersist()
+    # bytes of a million words
+    assert most[0] < 6_000_000, most
