@@ -43,6 +43,11 @@ def _child_step(counts, least: int, most: int, overlap: int):
     return step
 
 
+def child_spans(counts: list, least: int, most: int, overlap: int) -> list[dict]:
+    """What sentence_windows() makes of one list."""
+    return _walk(counts, _child_step(counts, least, most, overlap))
+
+
 def _topic_step(counts, least: int, most: int, overlap: int):
     def step(start: int) -> tuple[int, int]:
         end, words = start, 0
@@ -126,20 +131,22 @@ def tail_windows(counts: Column, target: int = 300, share: float = 0.2) -> Colum
     return F.pandas_udf(run, _SPAN)(counts)
 
 
+def number_parents(words: list, least: int, most: int) -> list[int]:
+    """What parent_numbers() makes of one list."""
+    out, parent, total = [], 0, 0
+    for n, w in enumerate(words):
+        if n and total + w > most and total >= least:
+            parent, total = parent + 1, 0
+        total += w
+        out.append(parent)
+    return out
+
+
 def parent_numbers(words: Column, least: int = 180, most: int = 300) -> Column:
     """The parent of each child from the children's words: a parent closes when a child would overfill it and it has enough."""
 
-    def number(counts) -> list[int]:
-        out, parent, total = [], 0, 0
-        for n, w in enumerate(counts):
-            if n and total + w > most and total >= least:
-                parent, total = parent + 1, 0
-            total += w
-            out.append(parent)
-        return out
-
     def run(column: pd.Series) -> pd.Series:
-        return column.map(number)
+        return column.map(lambda c: number_parents(c, least, most))
 
     return F.pandas_udf(run, "array<int>")(words)
 

@@ -13,6 +13,7 @@ MOST_BOOKS = 100_000
 #: line ends as Python's splitlines() has them, and white space as its strip() has it
 LINE_ENDS = r"[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 BLANK = r"[\t-\r\x1C-\x20\x{85}\p{Z}]"
+NOT_BLANK = r"[^\t-\r\x1C-\x20\x{85}\p{Z}]"
 #: decimal digits of any script, and those of ASCII in their place
 DIGITS = "".join(chr(c) for c in range(128, 0x10000) if unicodedata.category(chr(c)) == "Nd")
 ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in DIGITS)
@@ -20,10 +21,11 @@ ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in DIGITS)
 
 def find_page_number(text: Column, window: int = 3) -> Column:
     """The first line of one to four digits only among the first, then the last non-blank lines, as a number; null without one."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_ENDS), lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")), lambda x: x != "")
-    n = F.size(lines)
-    edges = F.concat(F.slice(lines, 1, window), F.slice(lines, F.greatest(n - (window - 1), F.lit(1)), F.lit(window)))
-    return F.translate(F.get(F.filter(edges, lambda x: x.rlike(r"^\p{Nd}{1,4}$")), F.lit(0)), DIGITS, ASCII_DIGITS).cast("int")
+    # only the edges are trimmed
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), LINE_ENDS), lambda x: x.rlike(NOT_BLANK))
+    edges = T.let(lines, lambda x: F.concat(F.slice(x, 1, window), F.slice(x, F.greatest(F.size(x) - (window - 1), F.lit(1)), F.lit(window))))
+    trimmed = F.transform(edges, lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", ""))
+    return F.translate(F.get(F.filter(trimmed, lambda x: x.rlike(r"^\p{Nd}{1,4}$")), F.lit(0)), DIGITS, ASCII_DIGITS).cast("int")
 
 
 def sections(lines: DataFrame) -> DataFrame:
