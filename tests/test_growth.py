@@ -2,9 +2,13 @@
 
 import re
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import assembly, cleaning, structure
+from lectern.plans import catalog
 
 
 def plan(df) -> str:
@@ -20,3 +24,21 @@ def test_sections_are_cut_once(spark):
     assert len(re.findall(r"\+- ArrowEvalPython|:- ArrowEvalPython", plan(made))) == 1
     last = [tuple(r) for r in made.where("unit = 'Unit 5' and kind = 'child'").orderBy("seq").select("text_clean", "pdf_page_start", "pdf_page_end", "ocr_confidence").collect()]
     assert last == [("One two three. Four five six.", 5, 5, 5.0), ("Four five six. Seven eight.", 5, 5, 5.0), ("Seven eight. and nine.", 5, 7, 6.0), ("and nine. Ten eleven twelve.", 7, 7, 7.0)]
+
+
+@pytest.mark.parametrize("name", ["calibration_sweep", "calibrate_threshold", "eval_metrics", "eval_per_category"])
+def test_halves_of_a_hundredth(spark, tmp_path, name):
+    docs = [(k, "x", 25 * k) for k in range(210)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_scores_are_worked_out_once(spark):
+    d = spark.createDataFrame([("a b",)], "text string").repartition(2)
+    made = plan(d.select(T.compare_quality(T.quality_score(F.col("text")), T.quality_score(F.upper("text")), F.lit(50.0)).alias("m")))
+    # the words of each of the two texts
+    assert made.count("regexp_extract_all(") == 2
