@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import assembly, cleaning, structure
-from lectern.plans import catalog
+from lectern.operators import assembly, cleaning, layout, structure
+from lectern.plans import catalog, layouts, strings  # noqa: F401 - they register their queries
 
 
 def plan(df) -> str:
@@ -42,3 +42,21 @@ def test_scores_are_worked_out_once(spark):
     made = plan(d.select(T.compare_quality(T.quality_score(F.col("text")), T.quality_score(F.upper("text")), F.lit(50.0)).alias("m")))
     # the words of each of the two texts
     assert made.count("regexp_extract_all(") == 2
+
+
+@pytest.mark.parametrize("name", ["merge_regions", "line_regions", "banded_lines", "region_texts", "band_paragraphs"])
+def test_words_stay_with_their_page(spark, name):
+    made = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    # counts of regions a page may be dealt out, words and texts may not
+    assert made.count("Exchange") == (name == "region_texts") and "collect_list" not in made
+    assert "Join" not in made
+
+
+def test_word_rows_and_arrays_give_the_same(spark):
+    rows = [(1, 3, 0, 0, 1, 5, 9, 3, 2, "50", "c"), (1, 0, 1, 0, 0, 0, 0, 4, 2, "10", " a "), (1, 1, 1, 0, 0, 4, 1, 4, 2, "x", "b"), (1, 2, 1, 0, 0, 9, 1, 4, 2, "30", "  "), (2, 0, None, 0, 0, 1, 2, 3, 4, None, "z")]
+    words = spark.createDataFrame(rows, "page long, pos int, block_num int, par_num int, line_num int, left int, top int, width int, height int, conf string, text string")
+    got = [tuple(r) for r in layout.line_regions(words).orderBy("page", "ordinal").collect()]
+    assert got == [(1, 0, "a b", 0, 0, 8, 3, 10.0), (1, 1, "c", 5, 9, 3, 2, 50.0), (2, 0, "z", 1, 2, 3, 4, 0.0)]
+    bands = layout.banded_lines(words, spark.createDataFrame([(1, 10), (2, 4)], "page long, height int"))
+    assert [tuple(r) for r in bands.orderBy("page", "ordinal").collect()] == [(1, "body", 0, 1, 0, "b"), (1, "body", 1, 0, 0, "c"), (2, "body", 0, None, 0, "z")]
+    assert [tuple(r) for r in layout.band_paragraphs(bands).orderBy("page").collect()][-1] == (2, 1, "z")
