@@ -1,14 +1,18 @@
 """What a query moves and works out over larger tables: figures of plans, and results that must stay the same."""
 
 import re
+import tracemalloc
 
 import duckdb
+import numpy
+import pyarrow
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import assembly, cleaning, layout, structure
+from lectern.operators import assembly, cleaning, layout, retrieval, structure
 from lectern.plans import catalog, layouts, strings  # noqa: F401 - they register their queries
+from lectern.sources import tables
 
 
 def plan(df) -> str:
@@ -60,3 +64,34 @@ def test_word_rows_and_arrays_give_the_same(spark):
     bands = layout.banded_lines(words, spark.createDataFrame([(1, 10), (2, 4)], "page long, height int"))
     assert [tuple(r) for r in bands.orderBy("page", "ordinal").collect()] == [(1, "body", 0, 1, 0, "b"), (1, "body", 1, 0, 0, "c"), (2, "body", 0, None, 0, "z")]
     assert [tuple(r) for r in layout.band_paragraphs(bands).orderBy("page").collect()][-1] == (2, 1, "z")
+
+
+def test_only_postings_asked_for_are_stored(spark, monkeypatch):
+    kept, real = [], tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    texts = spark.createDataFrame([(1, "a b b c"), (2, "c d"), (3, ""), (4, None)], "id long, text string")
+    got = retrieval.bm25_topk(texts, spark.createDataFrame([(0, "B x")], "q long, text string")).collect()
+    assert [(r["q"], r["id"]) for r in got] == [(0, 1)]
+    assert sorted((r["term"], r["id"], r["tf"], r["dl"]) for r in kept[0].collect()) == [("", 1, 1, 4), ("", 2, 1, 2), ("", 3, 1, 0), ("", 4, 1, 0), ("b", 1, 2, 4)]
+
+
+def test_lists_of_a_trace_are_made_once(spark):
+    assert "MapInArrow" not in plan(catalog.QUERIES["retrieval_trace"](spark, "/root/testdata/sf0.001"))
+
+
+def test_tokens_are_counted_before_the_join(spark):
+    made = plan(catalog.QUERIES["gate_context"](spark, "/root/testdata/sf0.001"))
+    assert made.index("length(") > made.index("Join ")
+
+
+def test_distances_are_held_in_parts():
+    rng = numpy.random.default_rng(0)
+    queries, rows = rng.normal(size=(4096, 8)), rng.normal(size=(1024, 8))
+    batch = pyarrow.RecordBatch.from_arrays([pyarrow.array(range(1024)), pyarrow.array(rows.tolist())], ["vec_id", "embedding"])
+    tracemalloc.start()
+    got = pyarrow.Table.from_batches(retrieval._nearest(numpy.arange(4096), queries, None, 5, "l2", pyarrow.int64())([batch]))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 50
+    want = numpy.sort(numpy.sqrt(((queries[:, None] - rows[None]) ** 2).sum(2)), axis=1)[:, :5]
+    assert numpy.allclose(numpy.array(got["distance"]).reshape(4096, 5), want, atol=1e-6)
