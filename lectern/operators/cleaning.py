@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +25,9 @@ def _threshold(pages: DataFrame, frequency: float) -> DataFrame:
 
 def edge_artifacts(pages: DataFrame, frequency: float = 0.7, window: int = 3) -> DataFrame:
     """Running heads and feet: lines often among a page's first or last non-blank ones; counted by position."""
-    held = page_lines(pages).where("norm <> ''")
-    page = Window.partitionBy("book", "page")
-    up, down = F.row_number().over(page.orderBy("line_no")), F.row_number().over(page.orderBy(F.desc("line_no")))
-    edge = held.select("book", "norm", up.alias("up"), down.alias("down")).where((F.col("up") <= window) | (F.col("down") <= window))
-    edge = edge.where(~T.is_pure_number(F.col("norm")))
+    norms = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.norm_line), lambda x: x != "")
+    ends = T.let(norms, lambda x: F.filter(x, lambda _, i: (i < window) | (i >= F.size(x) - window)))
+    edge = pages.select("book", F.explode(ends).alias("norm")).where(~T.is_pure_number(F.col("norm")))
     counts = edge.groupBy("book", "norm").agg(F.count("*").alias("hits"))
     return counts.join(_threshold(pages, frequency), "book").where("hits >= least").select("book", "norm", "hits")
 
@@ -147,47 +149,82 @@ def structure_codes(lines: Column) -> Column:
     return F.aggregate(beside, state, step, lambda s: s["out"])
 
 
-def typed_lines(pages: DataFrame, book_found: DataFrame, page_found: DataFrame) -> DataFrame:
-    """book, page, line_no, line (trimmed), norm, artifact, code of every line."""
+def _listed_lines(pages: DataFrame, book_found: DataFrame, page_found: DataFrame) -> DataFrame:
+    """book, page, lines (an array, in order) and codes (a character for each) of every page."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
     lines = page_lines(pages.select("book", "page", text.alias("text")))
     lines = lines.join(book_found.select("book", "norm", F.lit(1).alias("b")), ["book", "norm"], "left").join(page_found.select("book", "page", "norm", F.lit(1).alias("p")), ["book", "page", "norm"], "left")
     x = T.strip(F.col("line"))
-    row = F.struct("line_no", x.alias("line"), "norm", (F.col("b").isNotNull() | F.col("p").isNotNull()).alias("artifact"), ((x != "") & T.is_table_line(x)).alias("table"), T.is_heading_like(x).alias("heading"))
+    row = F.struct("line_no", x.alias("line"), "norm", (F.col("b").isNotNull() | F.col("p").isNotNull()).alias("artifact"), ((x != "") & T.is_table_line(x)).alias("table"), T.is_heading_like(x).alias("heading"), T.is_noise(x).alias("noise"))
     # one page's lines
     listed = lines.groupBy("book", "page").agg(F.sort_array(F.collect_list(row)).alias("lines"))
-    listed = listed.withColumn("codes", F.split(structure_codes(F.col("lines")), ""))
+    return listed.withColumn("codes", structure_codes(F.col("lines")))
+
+
+def typed_lines(pages: DataFrame, book_found: DataFrame, page_found: DataFrame) -> DataFrame:
+    """book, page, line_no, line (trimmed), norm, artifact, code of every line."""
+    listed = _listed_lines(pages, book_found, page_found).withColumn("codes", F.split("codes", ""))
     return listed.select("book", "page", F.inline(F.arrays_zip("lines", "codes"))).select("book", "page", "lines.line_no", "lines.line", "lines.norm", "lines.artifact", F.col("codes").alias("code"))
 
 
+_BLANKS = re.compile(T.WHITE + "+")
+#: pages that a Python call has as objects at once
+PAGE_PART = 64
+
+
+def _joined(lines: list[str]) -> str:
+    """join_lines() of a list."""
+    flat = [_BLANKS.sub(" ", x).strip(" ") for x in lines]
+    return "".join(x[:-1] if x.endswith("-") else x + " " for x in flat[:-1]) + flat[-1]
+
+
+def _clean_text(lines: list[dict], codes: str, repeat: int) -> str:
+    plain = lambda x, code: x["line"] != "" and code == "-"
+    kept = [(x, code) for x, code in zip(lines, codes, strict=True) if x["line"] == "" or code != "-" or (not x["artifact"] and (x["heading"] or not x["noise"]))]
+    again = Counter(x["norm"] for x, code in kept if plain(x, code))
+    blocks: list[list] = [[]]
+    for x, code in kept:
+        if plain(x, code) and again[x["norm"]] >= repeat and not x["heading"]:
+            continue
+        parts = blocks[-1]
+        if x["line"] == "":
+            blocks.append([])
+        elif code == "-" and parts and parts[-1][0] == "-":
+            parts[-1][1].append(x["line"])
+        else:
+            # a protected line is a part of its own
+            parts.append((code, [x["line"]]))
+    return "\n\n".join("\n".join(_joined(x) if code == "-" else x[0] for code, x in parts) for parts in blocks if parts)
+
+
+def _clean(repeat: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGE_PART):
+                part = batch.slice(at, PAGE_PART)
+                rows = part.select(["lines", "codes"]).to_pylist()
+                texts = [_clean_text(r["lines"] or [], r["codes"] or "", repeat) for r in rows]
+                removed = [len({x["norm"] for x in r["lines"] or [] if x["artifact"] and x["line"] != ""}) for r in rows]
+                yield pa.RecordBatch.from_arrays([part["book"], part["page"], pa.array(texts, pa.string()), pa.array(removed, pa.int64()), part["printed"]], ["book", "page", "clean_text", "removed", "printed"])
+
+    return run
+
+
 def clean_pages(pages: DataFrame, edge: float = 0.7, anywhere: float = 0.5, keywords: list[str] = (), patterns: list[str] = (), styled: DataFrame | None = None, repeat: int = 3) -> DataFrame:
     """book, page, clean_text, removed (different artifact lines), printed (page number): a row a page.
 
     Tables and headings stay as they are, also in number; artifacts, noise and lines met
     `repeat` times on the page go; wrapped lines are joined within paragraphs, which blank
-    lines part.
+    lines part. A page's lines are put together in one Python call, as each depends on
+    those before.
     """
     from .structure import find_page_number
 
-    lines = typed_lines(pages, artifacts(pages, edge, anywhere), page_artifacts(pages, keywords, patterns, styled))
-    lines = lines.repartition("book", "page").withColumn("kept", (F.col("line") == "") | (F.col("code") != "-") | (~F.col("artifact") & (T.is_heading_like(F.col("line")) | ~T.is_noise(F.col("line")))))
-    removed = lines.where("artifact and line <> ''").groupBy("book", "page").agg(F.count_distinct("norm").alias("removed"))
-    plain = F.col("kept") & (F.col("line") != "") & (F.col("code") == "-")
-    again = F.count(F.when(plain, 1)).over(Window.partitionBy("book", "page", "norm"))
-    lines = lines.where("kept").withColumn("again", again).where((F.col("line") == "") | (F.col("code") != "-") | (F.col("again") < repeat) | T.is_heading_like(F.col("line")))
-    order = Window.partitionBy("book", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("block", F.count(F.when(F.col("line") == "", 1)).over(order)).where("line <> ''")
-    # a protected line is a part of its own
-    before = F.lag("code").over(Window.partitionBy("book", "page", "block").orderBy("line_no"))
-    lines = lines.withColumn("new", ((F.col("code") != "-") | F.coalesce(before != "-", F.lit(True))).cast("int"))
-    lines = lines.withColumn("part", F.sum("new").over(order))
-    parts = lines.groupBy("book", "page", "block", "part").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"), F.max("code").alias("code"))
-    text = F.when(F.col("code") == "-", join_lines(F.transform("x", lambda v: v["line"]))).otherwise(F.col("x")[0]["line"])
-    listed = lambda *keys: F.transform(F.sort_array(F.collect_list(F.struct(*keys, "text"))), lambda v: v["text"])
-    blocks = parts.select("book", "page", "block", "part", text.alias("text")).groupBy("book", "page", "block").agg(F.array_join(listed("part"), "\n").alias("text"))
-    clean = blocks.groupBy("book", "page").agg(F.array_join(listed("block"), "\n\n").alias("clean_text"))
-    out = pages.select("book", "page", find_page_number(F.col("text")).alias("printed")).join(clean, ["book", "page"], "left").join(removed, ["book", "page"], "left")
-    return out.select("book", "page", F.coalesce("clean_text", F.lit("")).alias("clean_text"), F.coalesce("removed", F.lit(0)).alias("removed"), "printed")
+    listed = _listed_lines(pages, artifacts(pages, edge, anywhere), page_artifacts(pages, keywords, patterns, styled))
+    number = pages.select("book", "page", find_page_number(F.col("text")).alias("printed"))
+    # sorted by page by the join, lines with their texts stay where they were listed
+    both = number.join(listed, ["book", "page"], "left").select("book", "page", "printed", F.transform("lines", lambda x: x.dropFields("line_no", "table")).alias("lines"), "codes")
+    return both.mapInArrow(_clean(repeat), f"book string, page {pages.schema['page'].dataType.simpleString()}, clean_text string, removed long, printed int")
 
 
 def corrections(words: DataFrame, known: DataFrame) -> DataFrame:

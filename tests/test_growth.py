@@ -95,3 +95,12 @@ def test_distances_are_held_in_parts():
     assert peak < 50
     want = numpy.sort(numpy.sqrt(((queries[:, None] - rows[None]) ** 2).sum(2)), axis=1)[:, :5]
     assert numpy.allclose(numpy.array(got["distance"]).reshape(4096, 5), want, atol=1e-6)
+
+
+def test_lines_are_dealt_no_more_once_listed(spark):
+    made = plan(catalog.QUERIES["clean_pages"](spark, "/root/testdata/sf0.001"))
+    # neither windows over lines nor lists of parts and blocks
+    assert "Window" not in made and made.count("collect_list(struct(") <= 4
+    pages = spark.createDataFrame([("b", 1, "a-\nb\n\na\n\n|x|\n|y|\nUnit 1\nz"), ("b", 2, None)], "book string, page long, text string")
+    got = {r["page"]: (r["clean_text"], r["removed"], r["printed"]) for r in cleaning.clean_pages(pages).collect()}
+    assert got == {1: ("ab\n\na\n\n|x|\n|y|\nUnit 1\nz", 0, None), 2: ("", 0, None)}
