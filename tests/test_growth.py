@@ -104,3 +104,8 @@ def test_lines_are_dealt_no_more_once_listed(spark):
     pages = spark.createDataFrame([("b", 1, "a-\nb\n\na\n\n|x|\n|y|\nUnit 1\nz"), ("b", 2, None)], "book string, page long, text string")
     got = {r["page"]: (r["clean_text"], r["removed"], r["printed"]) for r in cleaning.clean_pages(pages).collect()}
     assert got == {1: ("ab\n\na\n\n|x|\n|y|\nUnit 1\nz", 0, None), 2: ("", 0, None)}
+
+
+def test_slugs_are_worked_out_once(spark):
+    d = spark.createDataFrame([("a b",)], "text string").repartition(2)
+    assert plan(d.select(T.slug(F.col("text")).alias("s"))).count("regexp_replace(") == 1
